@@ -16,7 +16,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from . import runtime
 from .chunks import PieceCache
@@ -145,7 +144,7 @@ def encode_decode(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     null ids included; other columns are left out, so their names can't clash.
     """
     rows = df.select(df[doc_id].alias("doc_id"), df[text].alias("text"))
-    kind = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    kind = runtime.added(rows.select("doc_id").schema, "ids binary, decoded string")
 
     def make():
         c = codec(tokenizer)

@@ -120,10 +120,6 @@ def map_slices(df: DataFrame, text: str, schema: T.StructType, make: Callable[[]
     return df.mapInArrow(run, schema)
 
 
-def with_columns(columns: list[tuple[str, T.DataType]]) -> T.StructType:
-    return T.StructType([T.StructField(n, t, True) for n, t in columns])
-
-
 def held(column: str, modulus: int) -> F.Column:
     """crc32 of an id as text, mod ``modulus``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
@@ -134,3 +130,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def added(schema: T.StructType, columns: str) -> T.StructType:
+    """A copy of ``schema`` with more columns, given as DDL."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(columns).fields])
