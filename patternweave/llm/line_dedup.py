@@ -189,6 +189,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     and are cut alike; a null id sorts first.
     """
     spans = runtime.materialize(deletions(docs, doc_id, text, min_words), "line-cuts").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "spans": "__spans"})
+    # the cuts follow the corpus, so the join is planned for any size of them: both sides are dealt by document
+    spans = spans.hint("merge")
     rows = docs.drop("n_lines", "n_deleted", "emptied").withColumn("__own", F.xxhash64(text))
     joined = rows.join(spans, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left").drop("__id", "__hash", "__own")
     schema = runtime.added(joined.drop("__spans").schema, "n_lines long, n_deleted long, emptied boolean")
