@@ -108,5 +108,29 @@ hw as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i +
 it as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hit group by r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hw using (r) left join it using (r)
+""",
+    "op4_embedding_dedup": """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from v where len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0),
+link as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and a.size > 0 and b.size > 0 and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach as (select vec_id as a, vec_id as b from v union select reach.a, link.b from reach join link on reach.b = link.a),
+c as (select a, min(b) as component_id from reach group by a),
+k as (select a, count(*) as n_links from link group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join c on c.a = vec_id left join k on k.a = vec_id
+""",
+    "op9_line_dedup": """
+with t as (select doc_id, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+w as (select *, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) as n from t),
+l as (select doc_id, pos, n, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') as line, row_number() over (partition by doc_id order by pos) as k, sum(n) over (partition by doc_id order by pos) as upto from w where n > 0),
+d as (select doc_id, list(line order by k) as ls from l group by doc_id),
+u as (select a.doc_id, a.k as a, b.k as b from l a join l b on a.doc_id = b.doc_id and a.k <= b.k and b.upto - a.upto + a.n >= 50 and (b.upto - b.n - a.upto + a.n < 50 or b.upto - a.upto < 50)),
+s as (select doc_id, a, b, array_to_string(ls[a : b], chr(10)) as body from u join d using (doc_id)),
+f as (select body, min({'d': doc_id, 'a': a, 'b': b}) as o from s group by body),
+g as (select distinct doc_id, unnest(range(a, b + 1)) as k from s join f using (body) where doc_id <> o.d or a > o.b),
+gone as (select l.doc_id, l.pos, l.k, lead(l.k) over (partition by l.doc_id order by l.k) = l.k + 1 as joined, lead(l.pos) over (partition by l.doc_id order by l.k) as next_pos from l join g on g.doc_id = l.doc_id and g.k = l.k),
+x as (select t.doc_id, t.pos, t.raw, exists (select 1 from gone where gone.doc_id = t.doc_id and (gone.pos = t.pos or (gone.joined and t.pos > gone.pos and t.pos < gone.next_pos))) as cut from t),
+r as (select doc_id, string_agg(raw, chr(10) order by pos) filter (where not cut) as text, count(*) as n_lines, cast(count_if(cut) as bigint) as n_deleted from x group by doc_id)
+select doc_id, case when documents.text is null then null else coalesce(r.text, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(n_deleted, 0) > 0 and not regexp_matches(coalesce(r.text, ''), '[^\\x20\\x09-\\x0D]') as emptied
+from documents left join r using (doc_id)
 """,
 }
