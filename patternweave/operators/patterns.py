@@ -27,9 +27,28 @@ def square_pairs(g: Graph) -> DataFrame:
 
 
 def squares(g: Graph) -> DataFrame:
-    """(v1, v2, v3, v4): v1 least, v2 < v4, v3 opposite of v1."""
-    low = g.wedges.where("z < x")
-    return low.alias("p").join(g.wedges.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & (F.col("p.z") < F.col("q.z"))).select(F.col("p.z").alias("v1"), F.col("p.x").alias("v2"), F.col("q.z").alias("v3"), F.col("p.y").alias("v4"))
+    """(v1, v2, v3, v4): v1 least, v2 < v4, v3 opposite of v1.
+
+    Two top wedges on the same ends are a square; its least vertex is x or the
+    lesser of the two between.
+    """
+    t = top_wedges(g)
+    both = t.join(t.withColumnRenamed("z", "c"), ["x", "y"]).where("z < c")
+    first = F.col("x") < F.col("z")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return both.select(pick("x", "z").alias("v1"), pick("z", "x").alias("v2"), pick("y", "c").alias("v3"), pick("c", "y").alias("v4"))
+
+
+def squares_on_edges(g: Graph) -> DataFrame:
+    """(x, y, k): the number of squares on each edge x < y that is in any.
+
+    Each wedge of n on the same ends makes n - 1 squares, which lie on both of
+    its edges.  Hubs make few top wedges, so nothing grows with their degree squared.
+    """
+    t = top_wedges(g).join(square_pairs(g).where("n > 1"), ["x", "y"])
+    ends = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    sides = t.select(F.explode(F.array(ends("x", "z"), ends("z", "y"))).alias("e"), (F.col("n") - 1).alias("k"))
+    return sides.groupBy("e").agg(F.sum("k").alias("k")).select("e.x", "e.y", "k")
 
 
 def squares_compressed(g: Graph, threshold: int = 0) -> DataFrame:

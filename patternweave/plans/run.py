@@ -23,21 +23,10 @@ def chordal_square_count(g: Graph) -> DataFrame:
 
 
 def house_count(g: Graph) -> DataFrame:
-    """Sum over edges of triangles on it times squares on it, less 4 for each chordal square.
-
-    An edge (u, v) is in as many squares as there are paths u .. v of three
-    edges: pairs of a neighbour w of u and a common neighbour of w and v other
-    than u.  Summed by hash aggregates; no square is listed.
-    """
+    """Sum over edges of triangles on it times squares on it, less 4 for each chordal square; no square is listed."""
     te = patterns.apex_counts(g)
-    w = g.wedges.groupBy("x", "y").agg(F.count("*").alias("cn"))
-    # each pair (x, y) from both ends, then around each middle: sq(u, v) = sum over w in N(v) of cn(u, w) - 1
-    both = w.selectExpr("stack(2, x, y, cn, y, x, cn) as (u, w, cn)").where("cn > 1")
-    edge = te.selectExpr("x as u", "y as v", "n")
-    steps = edge.join(g.adjacent.select(F.col("v"), F.col("n").alias("w")), "v").where("w <> u")
-    walks = steps.join(both, ["u", "w"]).select((F.col("n") * (F.col("cn") - 1)).alias("k"))
-    cs = te.select((-4 * pairs(F.col("n"))).alias("k"))
-    return total(walks.union(cs), F.col("k"))
+    met = te.join(patterns.squares_on_edges(g), ["x", "y"]).select((F.col("n") * F.col("k")).alias("k"))
+    return total(met.union(te.select((-4 * pairs(F.col("n"))).alias("k"))), F.col("k"))
 
 
 def solar_square_count(g: Graph) -> DataFrame:

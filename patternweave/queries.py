@@ -68,6 +68,7 @@ on_graph("stars_3", lambda g: ids(wedges.stars(g.oriented, 3)))
 on_graph("triangles", lambda g: ids(g.triangles))
 on_graph("edge_apexes", lambda g: ids(g.edge_apexes))
 on_graph("square_count", run.square_count)
+on_graph("squares_on_edges", lambda g: patterns.squares_on_edges(g).select(vertex_id(F.col("x")).alias("x"), vertex_id(F.col("y")).alias("y"), "k"))
 on_graph("square_enum", lambda g: ids(patterns.squares(g)))
 on_graph("square_compressed", lambda g: patterns.squares_compressed(g).select(vertex_id(F.col("x")).alias("x"), vertex_id(F.col("y")).alias("y"), joined("mids")))
 
@@ -108,7 +109,8 @@ on_graph("twintriangle_join_count", lambda g: patterns.count(patterns.twin_trian
 on_graph("twintriangle_per_vertex", lambda g: patterns.triangles_at(g).select(vertex_id(F.col("v")).alias("v"), F.col("n").alias("triangles")))
 on_graph("near5clique_count", run.near_5_clique_count)
 on_graph("near5clique_join_count", lambda g: patterns.count(patterns.near_5_cliques(g, cliques.cliques(g, 4))))
-on_graph("tcsquare_count", lambda g: patterns.count(patterns.fans(g)))
+on_graph("tcsquare_count", run.fan_count)
+on_graph("tcsquare_join_count", lambda g: patterns.count(patterns.fans(g)))
 on_graph("tcsquare_leftdeep", lambda g: patterns.count(patterns.fans_left_deep(g)))
 on_graph("quadtriangle_count", run.fan_count)
 on_graph("quadtriangle_per_hub", lambda g: patterns.fan_counts(g).groupBy("h").agg(F.sum("cnt").alias("cnt")).where("cnt > 0").select(vertex_id(F.col("h")).alias("h"), "cnt"))
@@ -239,6 +241,7 @@ _BODIES = {
     "stars_3": f"select a.u {_ID} as c, a.w {_ID} as l1, b.w {_ID} as l2, d.w {_ID} as l3 from e a join e b on a.u = b.u and a.w < b.w join e d on d.u = a.u and b.w < d.w",
     "triangles": _rows("tri", "v1", "v2", "v3"),
     "edge_apexes": _rows("te", "x", "y", "z"),
+    "squares_on_edges": f"select a {_ID} as x, b {_ID} as y, count(*) as k from side group by side.a, side.b",
     "square_enum": _rows("sq", "v1", "v2", "v3", "v4"),
     "square_compressed": f"select x {_ID} as x, y {_ID} as y, {_list('z')} as mids from w group by w.x, w.y having count(*) > 1 and min(z) < w.x",
     "chordalsquare_enum": _rows("cs", "x", "y", "p", "q"),
@@ -260,7 +263,7 @@ _BODIES = {
     **{n: _counted(_BOWS) for n in ("twintriangle_count", "twintriangle_join_count", "twintwig_twintriangle")},
     "twintriangle_per_vertex": f"select c {_ID} as v, count(*) as triangles from tv group by c",
     **{n: _counted(_NEAR) for n in ("near5clique_count", "near5clique_join_count", "twintwig_near5clique")},
-    **{n: _counted("fan") for n in ("tcsquare_count", "tcsquare_leftdeep", "quadtriangle_count")},
+    **{n: _counted("fan") for n in ("tcsquare_count", "tcsquare_join_count", "tcsquare_leftdeep", "quadtriangle_count")},
     "quadtriangle_per_hub": f"select h {_ID} as h, count(*) as cnt from fan group by fan.h",
     "hyper_true_twins": f"select member {_ID} as member, rep {_ID} as rep from true_twins where k > 1",
     "hyper_false_twins": f"select member {_ID} as member, rep {_ID} as rep from false_twins where k > 1",
