@@ -215,9 +215,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = runtime.materialize(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
     kinds = rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
-    # a copy-class is named by its least id; classes of null ids alone by a hash of the vector below all ids
-    name = F.coalesce("first", F.bitwise_not(F.abs(F.xxhash64("embedding") % F.lit(1 << 62))))
-    reps = runtime.materialize(kinds.withColumn("rep", name), "distinct-vectors")
+    # a number for each different vector, fixed by writing it
+    reps = runtime.materialize(kinds.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
     results = []
     for (d,) in reps.groupBy(F.size("embedding")).count().select("size(embedding)").orderBy("size(embedding)").collect():
         own = reps.where(F.size("embedding") == d)
@@ -259,7 +258,6 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         reps = reps.withColumns({"links": F.lit(None).cast("long"), "root": F.lit(None).cast("long")})
     reps = reps.select("embedding", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "first")
     reps = runtime.materialize(reps, "vector-roots")
-    # the least id of a component: the root, or where that is a hash, the least real id
     least = runtime.materialize(reps.groupBy("root").agg(F.min("first").alias("component_id")), "vector-components")
     reps = runtime.materialize(reps.join(least, "root").select("embedding", "n_links", "component_id"), "vector-results")
     linked = rows.where("sound").join(reps, "embedding").select("vec_id", "n_links", "component_id")
