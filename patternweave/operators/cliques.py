@@ -16,9 +16,9 @@ from ..graph import Graph
 def cliques(g: Graph, k: int) -> DataFrame:
     """(v1 .. vk), ascending.
 
-    Two (k-1)-cliques that share all but the last vertex are joined if their
-    last vertices are an edge: one self-join and one edge join for each vertex
-    beyond the third.
+    A clique grows by a triangle over its two last vertices; the new vertex's
+    edges to the others are semi-joins, two at a time with triangles.  The plan
+    is a chain, so a further vertex adds joins and never repeats earlier ones.
     """
     if k < 2:
         raise ValueError("a clique has 2 vertices at least")
@@ -26,29 +26,20 @@ def cliques(g: Graph, k: int) -> DataFrame:
         return g.oriented.select(F.col("u").alias("v1"), F.col("w").alias("v2"))
     out = g.triangles
     for n in range(4, k + 1):
-        shared = [f"v{i}" for i in range(1, n - 1)]
-        more = out.withColumnRenamed(f"v{n - 1}", f"v{n}")
-        out = out.join(more, shared).where(F.col(f"v{n - 1}") < F.col(f"v{n}"))
-        out = out.join(g.oriented.select(F.col("u").alias(f"v{n - 1}"), F.col("w").alias(f"v{n}")), [f"v{n - 1}", f"v{n}"]).select(*shared, f"v{n - 1}", f"v{n}")
-    return out
+        tri = lambda a, b, n=n: g.triangles.toDF(f"v{a}", f"v{b}", f"v{n}")
+        out = out.join(tri(n - 2, n - 1), [f"v{n - 2}", f"v{n - 1}"])
+        for a in range(1, n - 3, 2):
+            out = out.join(tri(a, a + 1), [f"v{a}", f"v{a + 1}", f"v{n}"], "left_semi")
+        if n % 2 == 0:
+            out = out.join(g.oriented.toDF(f"v{n - 3}", f"v{n}"), [f"v{n - 3}", f"v{n}"], "left_semi")
+    return out.select(*[f"v{i}" for i in range(1, k + 1)])
 
 
-def cliques_per_vertex(g: Graph, k: int) -> DataFrame:
+def clique_counts(g: Graph, k: int) -> DataFrame:
     """(v, cnt): k-cliques by their least vertex."""
     return cliques(g, k).groupBy(F.col("v1").alias("v")).agg(F.count("*").alias("cnt"))
 
 
-def clique_counts(g: Graph, k: int) -> DataFrame:
-    """(v, cnt) without the rows of k-cliques: pairs of (k-1)-cliques are counted as they meet an edge."""
-    if k < 4:
-        return cliques_per_vertex(g, k)
-    below = cliques(g, k - 1)
-    shared = [f"v{i}" for i in range(1, k - 1)]
-    met = below.join(below.withColumnRenamed(f"v{k - 1}", "last"), shared).where(F.col(f"v{k - 1}") < F.col("last"))
-    ends = g.oriented.select(F.col("u").alias(f"v{k - 1}"), F.col("w").alias("last"))
-    return met.join(ends, [f"v{k - 1}", "last"], "left_semi").groupBy(F.col("v1").alias("v")).agg(F.count("*").alias("cnt"))
-
-
 def cliques_compressed(g: Graph, k: int) -> DataFrame:
     """(v1 .. v(k-1), last): cliques that differ in the greatest vertex alone, as one row."""
     keys = [f"v{i}" for i in range(1, k)]
