@@ -31,8 +31,19 @@ def raw_pairs(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame
     return out.where("src < dst") if clean else out
 
 
-def graph(spark: SparkSession, sf_dir: str, **more: bool) -> Graph:
-    return Graph(raw_pairs(spark, sf_dir), **more)
+_prepared: dict[tuple[str, str], Graph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of ``sf_dir``, prepared once for the queries of a session; another one's parts are released."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _prepared:
+        for (app, _), g in _prepared.items():
+            if app == key[0]:
+                g.release()
+        _prepared.clear()
+        _prepared[key] = Graph(raw_pairs(spark, sf_dir), keep=True)
+    return _prepared[key]
 
 
 Q = Callable[[SparkSession, str], DataFrame]
