@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import runtime
-from .chunks import PieceCache
+from .chunks import KEPT, PieceCache, pack_ids
 
 SHORT = 64
 _NONE = 1 << 60
@@ -59,7 +59,7 @@ class RankArrayBPE:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.kept: dict[str, bytes] = {}
-        self.cache = PieceCache(self.encode_pieces)
+        self.cache = PieceCache(self.encode_pieces, self.special)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word."""
@@ -101,7 +101,7 @@ class RankArrayBPE:
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
         out, kept = [], self.kept
-        if len(kept) > 400_000:
+        if len(kept) > KEPT:
             kept.clear()
         for text in texts:
             got = []
@@ -112,7 +112,7 @@ class RankArrayBPE:
                 for w in self.words(part):
                     ids = kept.get(w)
                     if ids is None:
-                        ids = np.array(self.merge(w.encode()), "<u4").tobytes()
+                        ids = pack_ids(self.merge(w.encode()))
                         if len(w) < 48:
                             kept[w] = ids
                     got.append(ids)

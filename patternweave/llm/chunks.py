@@ -1,52 +1,112 @@
 """Pieces of a text whose tokens don't depend on what stands around them.
 
 Byte-level pre-tokenization lets no token hold a space that follows a
-non-space, so a text can be cut before each such space; the tokens of the text
-are those of its pieces.  Pieces repeat, so their tokens are kept.
+non-space, so a text can be cut before each such space (and before a line feed
+between two non-blanks); the tokens of the text are those of its pieces.
+Pieces repeat, so their tokens are kept.
 """
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
+import sys
+from array import array
+from collections.abc import Callable, Iterable
+from string import punctuation
 
-_BLANK_SPACE = re.compile(r"\s ")
+_TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) ")
 
-#: Pieces kept by a worker, and the longest piece that is kept.
-KEPT, LONGEST = 600_000, 48
+#: Pieces of a generation that a worker keeps, and the longest piece that is kept.
+KEPT, LONGEST = 300_000, 48
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def pieces(text: str) -> list[str]:
-    """The first piece lacks the space that stands before each of the others."""
-    if text[:1] != " " and not _BLANK_SPACE.search(text):
-        return text.split(" ")
-    return _CUT.split(text)
+    """The pieces of a text; ``written`` gives what each but the first stands for.
+
+    Where no two blanks follow each other, a text is also cut before each line
+    feed, which is then a token of its own.
+    """
+    if text[:1] != " " and not _TWO_BLANKS.search(text):
+        return text.replace("\n", " \n").split(" ")
+    first, *more = _CUT.split(text)
+    return [first, *(" " + x if x[:1] in (" ", "\n") else x for x in more)]
+
+
+def written(piece: str) -> str:
+    """The text of a piece: a space stands before it, unless it begins with a blank."""
+    return piece if piece[:1] in _BLANK_FIRST else " " + piece
+
+
+_BLANK_FIRST = frozenset(" \n")
+
+
+def stem(piece: str) -> str:
+    """The piece without the ASCII marks at its end if they follow a Latin letter or digit: they are a token of their own."""
+    out = piece.rstrip(punctuation)
+    return out if out != piece and out and out[-1] < "\u0250" and out[-1].isalnum() else piece
 
 
 class PieceCache:
-    """Token ids of pieces, as bytes of little-endian unsigned 32-bit integers."""
+    """Token ids of pieces, as bytes of little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    Pieces are kept in two generations: when the younger is full it takes the
+    place of the older, and pieces met again move back, so common ones stay.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: Iterable[str] = ()):
         self.encode = encode
+        #: Texts that hold any of these are encoded whole: they are tokens wherever they stand.
+        self.special = list(special)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+
+    def _missing(self, pieces: set[str]) -> set[str]:
+        """What has to be encoded; pieces of the older generation come back."""
+        out, older = pieces.difference(self.kept), self.older
+        again = [x for x in out if x in older]
+        self.kept.update([(x, older[x]) for x in again])
+        return out.difference(again)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts; a text's first piece is encoded without a space before it."""
-        cut = [pieces(t) for t in texts]
+        """The ids of whole texts; a text's first piece is encoded as it is."""
+        # the collector would walk through millions of kept strings and find nothing
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        cut = [[t] if any(s in t for s in self.special) else pieces(t) for t in texts]
         heads = self.encode([p[0] for p in cut])
         seen = set()
         for p in cut:
             seen.update(p[1:])
-        kept = self.kept
-        new = [x for x in seen if x not in kept]
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-            new = list(seen)
-        kept.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        if len(self.kept) + len(seen) > KEPT:
+            self.kept, self.older = {}, self.kept
+        new = self._missing(seen)
+        kept, ends = self.kept, self.ends
+        stems = [(x, s) for x in new if (s := stem(x)) is not x]
+        whole = list(self._missing(new.difference([x for x, _ in stems]).union([s for _, s in stems])))
+        kept.update(zip(whole, self.encode([written(x) for x in whole]), strict=True))
+        if len(ends) > KEPT // 10:
+            ends.clear()
+        marks = list({x[len(s) :] for x, s in stems}.difference(ends))
+        ends.update(zip(marks, self.encode(marks), strict=True))
+        kept.update([(x, kept[s] + ends[x[len(s) :]]) for x, s in stems])
         look = kept.__getitem__
         out = [h + b"".join(map(look, p[1:])) for h, p in zip(heads, cut, strict=True)]
-        for x in new:
-            if len(x) > LONGEST:
-                del kept[x]
+        for x in [x for x in new.union(whole) if len(x) > LONGEST]:
+            del kept[x]
         return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import runtime
-from .chunks import PieceCache
+from .chunks import PieceCache, pack_ids
 
 HEAD = struct.Struct("<4sIIQQ")
 TAIL = struct.Struct("<IQ4s")
@@ -132,9 +132,9 @@ def _library(path: str) -> tuple[PieceCache, int]:
     t.no_padding()
 
     def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack_ids(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return PieceCache(encode), t.get_vocab_size(with_added_tokens=True)
+    return PieceCache(encode, [x.content for x in t.get_added_tokens_decoder().values()]), t.get_vocab_size(with_added_tokens=True)
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
