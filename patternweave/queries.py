@@ -1,7 +1,8 @@
 """The registered queries, over the graph of parts that are ordered together, and their SQL.
 
-Vertices are parts; two parts are an edge if an order with
-``l_orderkey % 8 = 0`` holds both.
+Vertices are parts; two parts are an edge if one order holds both.  Each query
+is registered twice: as ``whole_<name>`` over all orders, and as ``<name>`` over
+those with ``l_orderkey % 8 = 0``, the graph of the SQL and of the golden counts.
 """
 
 from __future__ import annotations
@@ -22,27 +23,29 @@ from .plans.patterns import PATTERNS
 ids = Graph.ids
 
 
-def raw_pairs(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame:
-    """(src, dst): parts of one order; without ``clean`` also loops and both directions."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 8 = 0")
+def raw_pairs(spark: SparkSession, sf_dir: str, clean: bool = True, whole: bool = False) -> DataFrame:
+    """(src, dst): parts of one order; without ``clean`` also loops and both directions, with ``whole`` of all orders."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if not whole:
+        li = li.where("l_orderkey % 8 = 0")
     a = li.select("l_orderkey", F.col("l_partkey").alias("src"))
     b = li.select("l_orderkey", F.col("l_partkey").alias("dst"))
     out = a.join(b, "l_orderkey").select("src", "dst")
     return out.where("src < dst") if clean else out
 
 
-_prepared: dict[tuple[str, str], Graph] = {}
+_prepared: dict[tuple[str, str, bool], Graph] = {}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
     """The graph of ``sf_dir``, prepared once for the queries of a session; another one's parts are released."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, whole)
     if key not in _prepared:
-        for (app, _), g in _prepared.items():
+        for (app, *_), g in _prepared.items():
             if app == key[0]:
                 g.release()
         _prepared.clear()
-        _prepared[key] = Graph(raw_pairs(spark, sf_dir), keep=True)
+        _prepared[key] = Graph(raw_pairs(spark, sf_dir, whole=whole), keep=True)
     return _prepared[key]
 
 
@@ -52,6 +55,7 @@ QUERIES: dict[str, Q] = {}
 
 def on_graph(name: str, f: Callable[[Graph], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: f(graph(spark, sf_dir))
+    QUERIES[f"whole_{name}"] = lambda spark, sf_dir: f(graph(spark, sf_dir, whole=True))
 
 
 def joined(column: str) -> F.Column:
@@ -61,6 +65,7 @@ def joined(column: str) -> F.Column:
 
 # --- preparation
 QUERIES["undirected_edges"] = lambda spark, sf_dir: prepare.undirect(raw_pairs(spark, sf_dir, clean=False))
+QUERIES["whole_undirected_edges"] = lambda spark, sf_dir: prepare.undirect(raw_pairs(spark, sf_dir, clean=False, whole=True))
 on_graph("degrees", lambda g: g.degrees)
 on_graph("oriented_edges", lambda g: ids(g.oriented))
 on_graph("oriented_edges_pruned", lambda g: ids(prepare.prune_leaves(g.oriented)))
@@ -161,14 +166,13 @@ for _n in ("square", "chordalsquare", "house", "solarsquare", "chordalhouse"):
     on_graph(f"planned_{_n}", lambda g, n=_n: patterns.count(planner.match(g, PATTERNS[n])))
 
 
-def _plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
+def _plan_rows(g: Graph) -> DataFrame:
     m = planner.Moments.of(g)
     lines = [(unit, k, line) for unit in planner.UNITS for k, line in enumerate(planner.decompose(PATTERNS["house"], m, unit).lines())]
-    return spark.createDataFrame(lines, "unit string, line int, step string")
+    return g.edges.sparkSession.createDataFrame(lines, "unit string, line int, step string")
 
 
-QUERIES["pattern_plan_house"] = _plan_rows
+on_graph("pattern_plan_house", _plan_rows)
 
 # --- SQL
 
