@@ -9,8 +9,8 @@ kinds, and their lengths, which repetition raises.  A two-layer numpy network
 scores it, and its logits are divided by a temperature fitted on rows that the
 network wasn't trained on.
 
-The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, those of
-least hash of the id; everything else covers all rows.
+The network is fitted on at most ``SAMPLE_ROWS`` labelled rows, those of least
+hash of the id; everything else, the context sums too, covers all rows.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from . import runtime
 from .words import Words, not_blank
 
-#: The bound of the labelled sample that the classifier is fitted on.
+#: The bound of the labelled sample that the network is fitted on.
 SAMPLE_ROWS = 16_384
-#: Tasks that sum context vectors of the sample.
+#: Tasks that hold the sample, and tasks that add up the context sums of all others.
 SAMPLE_TASKS = 8
 #: Entries for letters and for shapes, dimensions, non-zero places of an index vector.
 LETTERS, SHAPES, DIMENSIONS, PLACES = 1 << 13, 1 << 11, 48, 4
@@ -183,7 +183,10 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bound: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
-    """Word vectors and the network, from labelled documents; ids with a null label or two different ones don't train."""
+    """Word vectors from all documents, the network from labelled ones; ids with a null label or two different ones don't train.
+
+    Context sums are whole numbers, so that they don't depend on the order of tasks.
+    """
     spark = docs.sparkSession
     runtime.ship(spark)
     marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other")
@@ -192,15 +195,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = runtime.materialize(rows.repartition(SAMPLE_TASKS), "quality-sample")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, into = index_vectors(), np.zeros((ENTRIES, DIMENSIONS), np.float32)
+        index, into = index_vectors(), np.zeros((ENTRIES, DIMENSIONS), np.float64)
         for batch in batches:
             for part in runtime.slices(batch, 0):
                 contexts([None if x is None else x.encode() for x in part.column(0).to_pylist()], index, into)
         yield pa.record_batch([pa.array([into.tobytes()], pa.binary())], names=["sums"])
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = np.zeros(ENTRIES * DIMENSIONS, np.float64)
+        for batch in batches:
+            for one in batch.column(0):
+                into += np.frombuffer(one.as_buffer(), np.float64)
+        yield pa.record_batch([pa.array([into.tobytes()], pa.binary())], names=["sums"])
+
     context = np.zeros((ENTRIES, DIMENSIONS), np.float64)
-    for r in rows.mapInArrow(sums, "sums binary").toLocalIterator():
-        context += np.frombuffer(r.sums, np.float32).reshape(ENTRIES, DIMENSIONS)
+    every = docs.select(F.col(text).alias("text")).mapInArrow(sums, "sums binary")
+    for r in every.repartition(SAMPLE_TASKS).mapInArrow(added, "sums binary").toLocalIterator():
+        context += np.frombuffer(r.sums, np.float64).reshape(ENTRIES, DIMENSIONS)
     vectors = word_vectors(index_vectors(), context.astype(np.float32)).astype(np.float32)
     sent = spark.sparkContext.broadcast(vectors)
 
