@@ -34,14 +34,25 @@ TEMPLATES = {
     "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "released under the mit license"],
     "apache-2": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"],
     "gpl-3": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"],
-    "gpl-2": ["licensed under the gnu general public license version 2"],
+    "gpl-2": ["licensed under the gnu general public license version 2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"],
     "lgpl-3": ["licensed under the gnu lesser general public license version 3"],
     "agpl-3": ["licensed under the gnu affero general public license version 3"],
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "cc-by": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
 }
+#: Runs of words that tell a licence from its kin: a chain names a template only if matches hold those that stand in it unbroken.
+TELLING = {
+    "gpl-3": ["gnu general", "version 3"],
+    "gpl-2": ["gnu general", "version 2"],
+    "lgpl-3": ["gnu lesser general", "version 3"],
+    "agpl-3": ["gnu affero general", "version 3"],
+    "cc-by": ["attribution 4", "by 4"],
+    "cc-by-nc": ["attribution noncommercial", "by nc"],
+    "cc-by-sa": ["attribution sharealike", "by sa"],
+}
 #: Words of the shortest match that is chained, most words skipped between two of a chain, least share of a template.
 LEAST, GAP, SHARE = 3, 6, 0.8
 
@@ -137,6 +148,8 @@ class Scanner:
         self.labels = [*BASE.values(), *(k for k, v in TEMPLATES.items() for _ in v)]
         number: dict[str, int] = {}
         self.templates = [[number.setdefault(w, len(number) + 1) for w in t.split(" ")] for t in texts]
+        #: of each template the places (first, end) of its telling runs
+        self.telling = [[(i, i + len(r)) for r in map(str.split, TELLING.get(label, [])) for i in range(len(w)) if w[i : i + len(r)] == r] for label, w in zip(self.labels, (t.split(" ") for t in texts), strict=True)]
         self.automaton = Automaton(self.templates, list(range(len(BASE))))
         hashes = Words([w.encode() for w in number], _TABLE).hashes()
         order = np.argsort(hashes)
@@ -144,8 +157,8 @@ class Scanner:
         self.near = np.zeros(1 << 16, bool)
         self.near[self.keys >> np.uint64(48)] = True
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, float]]]:
-        """Of each template: (first word, end, share covered) of its chains."""
+    def chains(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, float, bool]]]:
+        """Of each template: (first word, end, share covered, whether its telling runs are held) of its chains."""
         places: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, s in matches:
             for t, at in self.automaton.states[s].ends:
@@ -153,7 +166,7 @@ class Scanner:
         out: dict[int, list[tuple[int, int, float]]] = {}
         for t, runs in places.items():
             chain: list[tuple[int, int, int]] = []
-            best: list[tuple[int, int, float]] = []
+            best: list[tuple[int, int, float, bool]] = []
 
             def close(t=t, chain=chain, best=best) -> None:
                 if chain:
@@ -161,7 +174,8 @@ class Scanner:
                     for _, a, n in chain:
                         covered += max(0, a + n - max(a, upto))
                         upto = max(upto, a + n)
-                    best.append((chain[0][0], chain[-1][0] + chain[-1][2], covered / len(self.templates[t])))
+                    told = all(any(i <= x and y <= i + n for _, i, n in chain) for x, y in self.telling[t])
+                    best.append((chain[0][0], chain[-1][0] + chain[-1][2], covered / len(self.templates[t]), told))
                     chain.clear()
 
             for run in sorted(runs):
@@ -172,8 +186,8 @@ class Scanner:
             out[t] = best
         return out
 
-    def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float]]]]:
-        """Of each text: number of words, base places (start, label), covered spans (label, first word, end, share)."""
+    def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float, bool]]]]:
+        """Of each text: number of words, base places (start, label), covered spans (label, first word, end, share, told apart)."""
         words = Words(texts, _TABLE)
         hashes = words.hashes()
         ids = np.zeros(len(hashes) + 1, np.int64)
@@ -198,7 +212,7 @@ class Scanner:
             matches[k].extend((ahead + e, n, s) for e, n, s in runs)
         out = []
         for k, n in enumerate(np.diff(words.first).tolist()):
-            spans = [(self.labels[t], a, b, share) for t, c in self.chains(matches[k]).items() for a, b, share in c] if matches[k] else []
+            spans = [(self.labels[t], *x) for t, c in self.chains(matches[k]).items() for x in c] if matches[k] else []
             out.append((n, sorted(base[k]), spans))
         return out
 
@@ -211,7 +225,7 @@ def scanner() -> Scanner:
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, base (array of start, label), spans (array of label, first, end, share), score.
 
-    ``spans`` are the chains that cover ``SHARE`` of a template; ``score`` is
+    ``spans`` are the chains that cover ``SHARE`` of a template and hold its telling runs; ``score`` is
     the greatest share of any chain (1 at most).  A null text has no words.
     Rows stay one by one; other columns are left out.
     """
@@ -230,8 +244,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                     part.column(0),
                     pa.array([n for n, _, _ in got], pa.int64()),
                     pa.array([[{"start": a, "label": x} for a, x in b] for _, b, _ in got], base),
-                    pa.array([[{"label": x, "first": a, "end": e, "share": q} for x, a, e, q in c if q >= SHARE] for _, _, c in got], spans),
-                    pa.array([min(1.0, max([0.0, *(q for *_, q in c)])) for _, _, c in got], pa.float64()),
+                    pa.array([[{"label": x, "first": a, "end": e, "share": q} for x, a, e, q, told in c if told and q >= SHARE] for _, _, c in got], spans),
+                    pa.array([min(1.0, max([0.0, *(q for *_, q, _ in c)])) for _, _, c in got], pa.float64()),
                 ],
                 names=schema.names,
             )
