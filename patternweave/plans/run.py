@@ -86,8 +86,19 @@ def enumerate_query(g: Graph, o: Options, query: str) -> DataFrame:
     raise ValueError(f"unknown query: {query}")
 
 
+def refuse(o: Options) -> None:
+    """Raise an error for options that the plan of ``o`` would ignore."""
+    for name in ("hypergraph", "clique_threshold", "undirected"):
+        if getattr(o, name) != getattr(Options, name):
+            raise ValueError(f"option without a plan: {name}")
+    listed = ALIASES.get(o.query, o.query) == "square" and o.compressed and not o.count_only
+    if o.partition_threshold and not listed:
+        raise ValueError("partition_threshold: only compressed rows of squares are dealt in chunks")
+
+
 def run(g: Graph, o: Options) -> DataFrame:
     """The result of ``o.query``: (cnt) if ``count_only``, else its rows."""
+    refuse(o)
     query = ALIASES.get(o.query, o.query)
     if not o.count_only:
         return enumerate_query(g, o, query)
@@ -110,6 +121,7 @@ def main(args: list[str] | None = None) -> None:
     from ..sources.edges import write_table
 
     o = Options.parse(sys.argv[1:] if args is None else args)
+    refuse(o)
     spark = SparkSession.builder.appName(f"patternweave {o.query}").config("spark.sql.optimizer.runtime.bloomFilter.enabled", str(o.bloom).lower()).getOrCreate()
     g = Graph.from_text(spark, o.input, o.separator, keep=True, prune=o.degree_prune)
     if o.query == "sample":
