@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import runtime
-from .chunks import KEPT, PieceCache, pack_ids
+from .chunks import Decoder, PieceTable, text_bytes
 
 SHORT = 64
 _NONE = 1 << 60
@@ -58,8 +58,8 @@ class RankArrayBPE:
             self.bytes[k] = w.encode()
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.kept: dict[str, bytes] = {}
-        self.cache = PieceCache(self.encode_pieces, self.special)
+        self.table = PieceTable(self.encode_pieces, self.special)
+        self.decoder = Decoder(self.bytes)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word."""
@@ -99,36 +99,34 @@ class RankArrayBPE:
                     heapq.heappush(heap, (s, left, ids[left], ids[right]))
         return [x for x, here in zip(ids, alive, strict=True) if here]
 
-    def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        out, kept = [], self.kept
-        if len(kept) > KEPT:
-            kept.clear()
+    def encode_pieces(self, texts: list[str]) -> list[list[int]]:
+        out, merge, words = [], self.merge, self.words
         for text in texts:
-            got = []
+            if (found := words(text)) and len(found) == 1 and text not in self.special:
+                out.append(merge(text.encode()))
+                continue
+            # words that repeat within the piece are merged once
+            got, kept = [], {}
             for k, part in enumerate(self.cut_special.split(text) if self.cut_special else [text]):
                 if k % 2:
-                    got.append(np.array([self.special[part]], "<u4").tobytes())
+                    got.append(self.special[part])
                     continue
-                for w in self.words(part):
-                    ids = kept.get(w)
-                    if ids is None:
-                        ids = pack_ids(self.merge(w.encode()))
-                        if len(w) < 48:
-                            kept[w] = ids
-                    got.append(ids)
-            out.append(b"".join(got))
+                for w in words(part):
+                    if (ids := kept.get(w)) is None:
+                        ids = kept[w] = merge(w.encode())
+                    got += ids
+            out.append(got)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        return self.cache.ids(texts)
+        ids, ends = self.table.ids(*text_bytes(pa.array(texts, pa.large_string())))
+        return [x.tobytes() for x in np.split(ids.astype("<u4"), ends[1:-1])] if texts else []
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD, an id out of range gives nothing."""
         ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
-        if len(ids) and int(ids.max()) >= len(self.bytes):
-            ids = ids[ids < len(self.bytes)]
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.decoder.texts(ids, np.array([0, len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -150,8 +148,9 @@ def encode_decode(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
         c = codec(tokenizer)
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids = c.encode([x or "" for x in part.column(1).to_pylist()])
-            return pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            ids, ends = c.table.ids(*text_bytes(part.column(1)))
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<u4").tobytes())])
+            return pa.record_batch([part.column(0), packed.cast(pa.binary()), pa.array(c.decoder.texts(ids, ends), pa.string())], names=["doc_id", "ids", "decoded"])
 
         return run
 

@@ -1,7 +1,7 @@
 """Token ids in packed binary files.
 
-A shard is one file; documents stand in ascending id order within a shard and
-from shard to shard.  Each id takes the least whole number of bits that holds
+A shard is one file of a bounded number of blocks; documents stand in ascending
+id order within a shard and from shard to shard.  Each id takes the least whole number of bits that holds
 the vocabulary.  A shard is a row of blocks and a footer, each followed by a
 line feed (Spark's committer writes the files, so a lost task leaves none):
 
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import runtime
-from .chunks import PieceCache, pack_ids
+from .chunks import PieceTable, text_bytes
 
 HEAD = struct.Struct("<4sIIQQ")
 TAIL = struct.Struct("<IQ4s")
-#: Ids in a block before it is closed.
-BLOCK_IDS = 1 << 18
+#: Ids in a block before it is closed, and blocks of a shard before it is.
+BLOCK_IDS, SHARD_BLOCKS = 1 << 18, 256
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -59,12 +59,10 @@ def unpack(data: bytes | memoryview, bits: int, count: int, first: int = 0) -> n
     return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def block(doc_ids: list[int | None], ids: list[np.ndarray], bits: int) -> bytes:
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+def block(doc_ids: np.ndarray, present: np.ndarray, counts: np.ndarray, flat: np.ndarray, bits: int) -> bytes:
+    """Documents whose ids stand one after the other in ``flat``."""
     packed = pack(flat, bits)
-    table = np.fromiter((d or 0 for d in doc_ids), "<i8", len(doc_ids)).tobytes()
-    table += np.fromiter(map(len, ids), "<u4", len(ids)).tobytes()
-    table += bytes(d is not None for d in doc_ids)
+    table = doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + present.astype(np.uint8).tobytes()
     return HEAD.pack(b"PWT1", bits, len(doc_ids), len(flat), len(packed)) + table + packed
 
 
@@ -81,16 +79,14 @@ def index(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, int]:
     return np.frombuffer(data, "<u8", blocks, at), np.frombuffer(data, "<u8", blocks, at + 8 * blocks), tokens
 
 
-def open_block(data: bytes | memoryview, offset: int) -> tuple[list[int | None], np.ndarray, int, int]:
-    """Document ids, their token counts, bits, and where the packed ids begin."""
+def open_block(data: bytes | memoryview, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Document ids, which of them there are, their token counts, bits, and where the packed ids begin."""
     mark, bits, docs, _, _ = HEAD.unpack_from(data, offset)
     if mark != b"PWT1":
         raise ValueError("not a token block")
     at = offset + HEAD.size
-    ids = np.frombuffer(data, "<i8", docs, at).tolist()
-    counts = np.frombuffer(data, "<u4", docs, at + 8 * docs)
-    present = np.frombuffer(data, np.uint8, docs, at + 12 * docs)
-    return [x if p else None for x, p in zip(ids, present, strict=True)], counts, bits, at + 13 * docs
+    ids, counts = np.frombuffer(data, "<i8", docs, at), np.frombuffer(data, "<u4", docs, at + 8 * docs)
+    return ids, np.frombuffer(data, np.uint8, docs, at + 12 * docs).astype(bool), counts, bits, at + 13 * docs
 
 
 def read_documents(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -98,11 +94,11 @@ def read_documents(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
     view = memoryview(data)
     offsets, firsts, _ = index(view)
     for offset, first in zip(offsets.tolist(), firsts.tolist(), strict=True):
-        ids, counts, bits, at = open_block(view, offset)
+        ids, present, counts, bits, at = open_block(view, offset)
         flat = unpack(view[at:], bits, int(counts.sum()))
         ends = np.cumsum(counts, dtype=np.int64)
-        for d, n, end in zip(ids, counts.tolist(), ends.tolist(), strict=True):
-            yield d, first + end - n, flat[end - n : end]
+        for d, p, n, end in zip(ids.tolist(), present.tolist(), counts.tolist(), ends.tolist(), strict=True):
+            yield d if p else None, first + end - n, flat[end - n : end]
 
 
 def read_tokens(data: bytes, first: int, count: int) -> np.ndarray:
@@ -113,7 +109,7 @@ def read_tokens(data: bytes, first: int, count: int) -> np.ndarray:
     out = []
     k = max(0, int(np.searchsorted(firsts, first, side="right")) - 1)
     while first < stop:
-        _, counts, bits, at = open_block(view, int(offsets[k]))
+        _, _, counts, bits, at = open_block(view, int(offsets[k]))
         begin = int(firsts[k])
         end = min(stop, begin + int(counts.sum()))
         if end > first:
@@ -124,88 +120,115 @@ def read_tokens(data: bytes, first: int, count: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _library(path: str) -> tuple[PieceCache, int]:
+def _library(path: str) -> tuple[PieceTable, int]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [pack_ids(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return PieceCache(encode, [x.content for x in t.get_added_tokens_decoder().values()]), t.get_vocab_size(with_added_tokens=True)
+    return PieceTable(encode, [x.content for x in t.get_added_tokens_decoder().values()]), t.get_vocab_size(with_added_tokens=True)
 
 
-def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, shard_blocks: int = SHARD_BLOCKS) -> None:
     """Encode whole texts with the ``tokenizers`` library and write packed shards to ``path``.
 
     Ids ascend over the shards; a null id stands first, a null text counts as
-    empty, repeated ids each keep their tokens, an empty table gives shards
-    without blocks.  ``end_id`` is put after each document.
+    empty, repeated ids each keep their tokens, in the order of a hash of the
+    text (and may be dealt to several shards), an empty table gives shards
+    without blocks.  A text of any length is encoded whole, as a block that may
+    be longer than others.  ``end_id`` is put after each document; ``shards``
+    is the least number of shards.
     """
     spark = df.sparkSession
     runtime.ship(spark)
     shards = shards or runtime.partitions(spark)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shards, F.col("doc_id")).sortWithinPartitions("doc_id")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, size = _library(tokenizer)
+        table, size = _library(tokenizer)
         bits = max(1, (max(size - 1, end_id)).bit_length())
-        end = np.array([end_id], "<u4").tobytes()
         kind = pa.schema([("value", pa.binary())])
         at, total, offsets, firsts = 0, 0, [], []
-        docs: list[int | None] = []
-        ids: list[np.ndarray] = []
-        held = 0
+        #: documents of the block that is open: ids, whether there is one, token counts, tokens
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        tokens = 0
 
-        def closed() -> pa.RecordBatch:
-            nonlocal at, total, held
-            data = block(docs, ids, bits)
-            offsets.append(at)
-            firsts.append(total)
-            at, total, held = at + len(data) + 1, total + held, 0
-            docs.clear()
-            ids.clear()
+        def written(data: bytes) -> pa.RecordBatch:
             return pa.record_batch([pa.array([data], pa.binary())], schema=kind)
 
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal at, total, tokens
+            data = block(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+            offsets.append(at)
+            firsts.append(total)
+            at, total, tokens = at + len(data) + 1, total + tokens, 0
+            held.clear()
+            yield written(data)
+            if len(offsets) == shard_blocks:
+                yield ended()
+
+        def ended() -> pa.RecordBatch:
+            nonlocal at, total
+            data = footer(offsets, firsts, total)
+            at, total = 0, 0
+            offsets.clear()
+            firsts.clear()
+            return written(data)
+
+        empty = True
         for batch in batches:
             for part in runtime.slices(batch, 1):
-                made = cache.ids([x or "" for x in part.column(1).to_pylist()])
-                for d, x in zip(part.column(0).to_pylist(), made, strict=True):
-                    docs.append(d)
-                    ids.append(np.frombuffer(x + end, "<u4"))
-                    held += len(ids[-1])
-                    if held >= BLOCK_IDS:
-                        yield closed()
-        if docs:
-            yield closed()
-        yield pa.record_batch([pa.array([footer(offsets, firsts, total)], pa.binary())], schema=kind)
-
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(path)
+                flat, ends = table.ids(*text_bytes(part.column(1)))
+                flat, ends = np.insert(flat, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
+                present = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                docs, counts, k = part.column(0).fill_null(0).to_numpy(), np.diff(ends), 0
+                while k < len(docs):
+                    # a block ends with the document that fills it
+                    j = min(len(docs), int(np.searchsorted(ends[1:], ends[k] + block_ids - tokens)) + 1)
+                    held.append((docs[k:j], present[k:j], counts[k:j], flat[ends[k] : ends[j]]))
+                    tokens += int(ends[j] - ends[k])
+                    k, empty = j, False
+                    if tokens >= block_ids:
+                        yield from closed()
+        if held:
+            yield from closed()
+        if offsets or empty:
+            yield ended()
+
+    # Spark begins a new file after as many records, which is where each footer stands
+    writer = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write
+    writer.option("compression", "none").option("maxRecordsPerFile", shard_blocks + 1).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the shards: shard, doc_id, first token within the shard, n_tokens, ids (binary, u32)."""
     runtime.ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    files = files.select((number(r"part-(\d+)") * (1 << 24) + number(r"-c(\d+)\.[^/]*$")).alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, held = [], 0
-                for d, first, ids in read_documents(data.as_buffer().to_pybytes()):
-                    rows.append((shard, d, first, len(ids), ids.astype("<u4").tobytes()))
-                    held += len(ids)
-                    if held >= BLOCK_IDS:
-                        yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=kind)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=kind)
-
-    return files.mapInArrow(run, "shard int, doc_id long, local_start long, n_tokens long, ids binary")
+                view = memoryview(data.as_buffer())
+                offsets, firsts, _ = index(view)
+                for offset, first in zip(offsets.tolist(), firsts.tolist(), strict=True):
+                    docs, present, counts, bits, at = open_block(view, offset)
+                    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+                    flat = unpack(view[at:], bits, int(ends[-1])).astype("<u4")
+                    for k in range(0, len(docs), 10_000):
+                        own = ends[k : k + 10_001]
+                        n = len(own) - 1
+                        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * (own - own[0])), pa.py_buffer(flat[own[0] : own[-1]].tobytes())])
+                        columns = [np.full(n, shard), pa.array(docs[k : k + n], mask=~present[k : k + n]), first + own[:-1], np.diff(own)]
+                        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), ids.cast(pa.binary())], names=["shard", "doc_id", "local_start", "n_tokens", "ids"])
+
+    return files.mapInArrow(run, "shard long, doc_id long, local_start long, n_tokens long, ids binary")
 
 
 def with_starts(read: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def shard(parts, bits=17):
     for docs, ids in parts:
         offsets.append(len(data))
         firsts.append(at)
-        data += token_output.block(docs, ids, bits) + b"\n"
+        present = np.array([d is not None for d in docs])
+        data += token_output.block(np.array([d or 0 for d in docs]), present, np.array([len(x) for x in ids]), np.concatenate(ids), bits) + b"\n"
         at += sum(map(len, ids))
     return data + token_output.footer(offsets, firsts, at) + b"\n", at
 
@@ -102,15 +103,39 @@ def test_op1_and_op6_on_the_table(spark, sf_dir):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [(1, None, "x", "y"), (2, "", "x", "y"), (None, "null id", "x", "y"), (3, "same", "x", "y"), (3, "same", "x", "y"), (-5, "word " * 50_000, "x", "y")]
+    rows = [(1, None, "x", "y"), (2, "", "x", "y"), (None, "null id", "x", "y"), (3, "same", "x", "y"), (3, "other text", "x", "y"), (3, "same", "x", "y"), (-5, "word " * 50_000, "x", "y")]
     df = spark.createDataFrame(rows, SCHEMA)
     made = bpe.encode_decode(df, PATH)
     assert sorted((r.doc_id or 0, r.decoded) for r in made.collect()) == sorted((i or 0, t or "") for i, t, _, _ in rows)
     token_output.write_token_files(df, f"file://{tmp_path}/t", PATH, 2)
     back = token_output.with_starts(token_output.read_token_files(spark, f"file://{tmp_path}/t")).orderBy("start").collect()
-    assert [r.doc_id for r in back] == [None, -5, 1, 2, 3, 3]
+    assert [r.doc_id for r in back] == [None, -5, 1, 2, 3, 3, 3]
     assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back[:-1])]).tolist()
     assert [r.n_tokens for r in back if r.doc_id in (1, 2)] == [1, 1]
+    # rows of one id stand in the order of their texts' hashes, however they are dealt
+    other = token_output.write_token_files(df.repartition(3), f"file://{tmp_path}/u", PATH, 2, shards=5)
+    again = token_output.with_starts(token_output.read_token_files(spark, f"file://{tmp_path}/u")).orderBy("start").collect()
+    assert other is None and [(r.doc_id, r.start, bytes(r.ids)) for r in again] == [(r.doc_id, r.start, bytes(r.ids)) for r in back]
+
+
+def test_shards_end_after_so_many_blocks(spark, tmp_path):
+    df = spark.createDataFrame([(k, "some words here " * (k % 7)) for k in range(200)], "doc_id long, text string")
+    token_output.write_token_files(df, f"file://{tmp_path}/t", PATH, 2, shards=2, block_ids=50, shard_blocks=3)
+    back = token_output.with_starts(token_output.read_token_files(spark, f"file://{tmp_path}/t")).orderBy("start").collect()
+    assert [r.doc_id for r in back] == list(range(200)) and len({r.shard for r in back}) > 10
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back[:-1])]).tolist()
+    assert all(r.n_tokens == len(LIBRARY.encode("some words here " * (r.doc_id % 7), add_special_tokens=False).ids) + 1 for r in back)
+
+
+def test_pieces_of_one_hash_and_a_full_table(monkeypatch):
+    from patternweave.llm import chunks
+
+    monkeypatch.setattr(chunks, "KEPT", 40)
+    monkeypatch.setattr(chunks, "mix", lambda x: x & np.uint64(0xF000000000000001))
+    codec, texts = bpe.RankArrayBPE(PATH), odd_texts()
+    for t in texts:
+        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+    assert [x for x in codec.encode(texts)] == CODEC.encode(texts)
 
 
 def test_empty_table(spark, tmp_path):
