@@ -17,7 +17,7 @@ Their components are the groups within which full vectors are compared: links
 and counts come from exact double-precision cosines alone.
 
 Equal vectors are compared once and weighted.  Buckets and groups over
-``BLOCK`` rows are dealt in pairs of blocks to several tasks.
+``groups.BLOCK`` rows are dealt in pairs of blocks to several tasks.
 """
 
 from __future__ import annotations
@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .components import connected, spanning
+from .groups import blocked, grouped
 
 THRESHOLD = 0.95
 #: Sign bits of a code at least; deviations of the confidence bound; chance to miss a pair at the threshold; rows of a bucket.
 CODE_BITS, DEVIATIONS, MISS, BUCKET = 256, 4.5, 1e-6, 256
-#: Rows of a block in a task.
-BLOCK = 4096
 
 
 def rotations(d: int, count: int, seed: int) -> np.ndarray:
@@ -99,39 +98,10 @@ def _unit(batch: pa.RecordBatch, k: int, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Whole groups, by the first ``keys`` columns, of rows that arrive sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        key = np.stack([table.column(i).to_numpy() for i in range(keys)])
-        edge = np.concatenate(([0], np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            yield table.slice(a, b - a)
-        held = table.slice(int(edge[-1])).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _blocked(df: DataFrame, key: str, ident: str, tag: str) -> DataFrame:
-    """Add i and j: rows of a key with over BLOCK rows are dealt to blocks, and each pair of blocks (i <= j) is a group; in others both are 0.  side: 0 if the row is of block i, else 1."""
-    big = runtime.materialize(df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select(F.col(key), F.ceil(F.col("rows") / BLOCK).alias("blocks")), tag)
-    plain = df.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "side": F.lit(0)})
-    if not big.count():
-        return plain
-    own = F.pmod(F.xxhash64(ident, F.lit(5)), F.col("blocks"))
-    split = df.join(big, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    split = split.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") <= F.col("other"), 0).otherwise(1)}).drop("blocks", "own", "other")
-    return plain.join(big.select(key), key, "left_anti").select(*split.columns).union(split)
-
-
 def _candidates(d: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, held = [], [], 0
-        for t in _grouped(batches, 3):
+        for t in grouped(batches, 3):
             n = t.num_rows
             if n < 2:
                 continue
@@ -171,7 +141,7 @@ def _exact(d: int, threshold: float):
     """Within groups of full vectors: for each the weight of its links, and a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 3):
+        for t in grouped(batches, 3):
             t = t.combine_chunks()
             n = t.num_rows
             ids, weight, side = t.column("rep").to_numpy(), t.column("weight").to_numpy(), t.column("side").to_numpy()
@@ -238,14 +208,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
         coded = own.select("rep", "embedding").repartition(tasks).mapInArrow(codes, "bucket long, rep long, code binary, factors binary, query binary, scale double")
         order = ["bucket", "i", "j"]
-        met = _blocked(coded, "bucket", "rep", "hot-buckets").select(*order, "side", "rep", "code", "factors", "query", "scale")
+        met = blocked(coded, "bucket", "rep", "hot-buckets").select(*order, "side", "rep", "code", "factors", "query", "scale")
         pairs = met.repartition(tasks, *order).sortWithinPartitions(*order).mapInArrow(_candidates(d, threshold), "a long, b long")
         groups = connected(pairs)
         named = groups.select(F.col("u").alias("member"), F.col("v").alias("group"))
         named = named.union(groups.select(F.col("v").alias("member"), F.col("v").alias("group")).distinct())
         full = runtime.materialize(own.join(named, F.col("rep") == F.col("member")).select("group", "rep", "weight", "embedding"), "candidate-groups")
         order = ["group", "i", "j"]
-        met = _blocked(full, "group", "rep", "hot-groups").select(*order, "side", "rep", "weight", "embedding")
+        met = blocked(full, "group", "rep", "hot-groups").select(*order, "side", "rep", "weight", "embedding")
         results.append(runtime.materialize(met.repartition(tasks, *order).sortWithinPartitions(*order).mapInArrow(_exact(d, threshold), "a long, b long, links long"), "exact-links"))
     if results:
         found = results[0]

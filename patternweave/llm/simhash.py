@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .components import connected, spanning
-from .words import Words, not_blank
+from .words import Words, mix, not_blank
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that the tree of hot shards is built from, its leaves' depth, homes of a leaf searched whole.
@@ -65,18 +65,31 @@ def fingerprint_batch(texts: list[bytes | None]) -> np.ndarray:
     h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
     out = np.zeros(words.n, np.uint64)
     some = np.flatnonzero(n)
-    if not len(some):
-        return out
-    n, at = n[some], at[some]
+    if len(some):
+        out[some] = majority(h, at[some], n[some])
+    return out
+
+
+def majority(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each run of ``n`` hashes (one at least) from place ``at`` on, the bits that over half of them have."""
     groups = -(-n // 255)
     owner = np.cumsum(groups) - groups
     begin = (np.arange(int(groups.sum())) - np.repeat(owner, groups)) * 255 + np.repeat(at, groups)
-    sums = np.empty((len(some), 64), np.int64)
+    sums = np.empty((len(n), 64), np.int64)
     octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     for j in range(8):
         lanes = np.add.reduceat(_LANES[octets[:, j]], begin).view(np.uint8).reshape(-1, 8)
         sums[:, 8 * j : 8 * j + 8] = np.add.reduceat(lanes, owner, axis=0, dtype=np.int64)
-    out[some] = np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def wide_codes(sets: list[np.ndarray], lanes: int) -> np.ndarray:
+    """SimHash codes of ``lanes`` times 64 bits, a row for each set of hashes; none is empty."""
+    out = np.zeros((len(sets), lanes), np.uint64)
+    if sets:
+        every, n = np.concatenate(sets), np.array([len(s) for s in sets])
+        for k in range(lanes):
+            out[:, k] = majority(mix(every + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), np.cumsum(n) - n, n)
     return out
 
 

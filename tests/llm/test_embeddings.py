@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from patternweave.llm import embedding_dedup as op
+from patternweave.llm import groups
 from patternweave.llm import queries
 from patternweave.llm.components import connected, spanning
 
@@ -60,7 +61,7 @@ def test_links_on_the_table(spark, sf_dir):
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_links_of_odd_rows(spark, monkeypatch, block):
-    monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(groups, "BLOCK", block)
     monkeypatch.setattr(op, "BUCKET", 24)
     x = clusters(120, 16, block).tolist()
     nan, inf = float("nan"), float("inf")

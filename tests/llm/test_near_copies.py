@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from patternweave.llm import near_copies, runtime
+from patternweave.llm import groups, near_copies, runtime, simhash
 
 
 def shingles(text):
@@ -59,3 +62,34 @@ def test_a_table_against_brute_force(spark, sf_dir):
     docs = runtime.load(spark, sf_dir, "documents").select("doc_id", "text")
     rows = [tuple(x) for x in docs.collect()]
     assert {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()} == least(rows)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_a_dense_group_around_the_limit(spark, monkeypatch, block):
+    monkeypatch.setattr(groups, "BLOCK", block)
+    r = random.Random(block)
+    words = [f"w{r.randrange(5000)}" for _ in range(120)]
+    # copies of copies: chains of links, and pairs just under the limit that no chain joins
+    rows = [(0, " ".join(words))]
+    for k in range(1, 90):
+        base = r.choice(rows)[1].split() if k % 3 else words
+        rows.append((k, " ".join(x if r.random() > r.choice([0.005, 0.02, 0.05]) else f"n{r.randrange(10**6)}" for x in base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = least(rows)
+    assert 5 < len(set(want.values())) < 85
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()} == want
+
+
+def test_codes_keep_pairs_at_the_limit():
+    r = np.random.default_rng(5)
+    worst = 0
+    for n in (5, 6, 8, 10, 16, 36, 45, 90, 180, 900):
+        shared = -(-4 * n // 5)
+        for _ in range(40):
+            h = r.integers(0, 1 << 63, n).astype(np.uint64)
+            cut = shared + int(r.integers(0, n - shared + 1))
+            code = simhash.wide_codes([h[:cut], np.concatenate((h[:shared], h[cut:]))], near_copies.LANES)
+            apart = int(np.bitwise_count(code[0] ^ code[1]).sum())
+            limit = near_copies.SMALL_REACH if min(cut, n - cut + shared) <= near_copies.SMALL else near_copies.REACH
+            worst = max(worst, apart / limit)
+    assert worst <= 1
