@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.vertex import vertex_id
 from .operators import prepare, wedges
-from .sources.edges import read_edge_table, read_edge_text
+from .sources.edges import read_edge_table, read_edge_text, read_pattern
 
 
 class Graph:
@@ -17,11 +17,12 @@ class Graph:
 
     Raw edges may hold loops, duplicates and both directions.  Derived parts
     are DataFrames; with ``keep`` they are persisted (memory, then disk), which
-    pays off if several queries run on one graph.
+    pays off if several queries run on one graph.  ``undirected`` promises that
+    each edge stands in one row, in either direction, so none is sought twice.
     """
 
-    def __init__(self, raw: DataFrame, keep: bool = False, prune: bool = False):
-        self.raw, self.keep, self.prune = raw, keep, prune
+    def __init__(self, raw: DataFrame, keep: bool = False, prune: bool = False, undirected: bool = False):
+        self.raw, self.keep, self.prune, self.undirected = raw, keep, prune, undirected
         self._kept: list[DataFrame] = []
 
     @classmethod
@@ -32,6 +33,11 @@ class Graph:
     def from_table(cls, spark: SparkSession, path: str, src: str = "src", dst: str = "dst", **more: bool) -> Graph:
         return cls(read_edge_table(spark, path, src, dst), **more)
 
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str, **more: bool) -> Graph:
+        """A small graph from a file that the driver reads: two ids a line, # and % begin comments."""
+        return cls.from_pairs(spark, read_pattern(path), **more)
+
     @classmethod
     def from_pairs(cls, spark: SparkSession, pairs: list[tuple[int, int]], **more: bool) -> Graph:
         return cls(spark.createDataFrame(pairs, "src long, dst long"), **more)
@@ -49,7 +55,7 @@ class Graph:
     @cached_property
     def edges(self) -> DataFrame:
         """(a, b), a < b by id, distinct."""
-        return self._hold(prepare.undirect(self.raw))
+        return self._hold(prepare.undirect(self.raw, distinct=not self.undirected))
 
     @cached_property
     def degrees(self) -> DataFrame:
@@ -77,6 +83,21 @@ class Graph:
     def wedges(self) -> DataFrame:
         return wedges.wedges(self.oriented)
 
+    def with_edges(self, pairs: list[tuple[int, int]]) -> Graph:
+        """The graph with more edges."""
+        more = self.raw.sparkSession.createDataFrame(pairs, "src long, dst long")
+        return Graph(self.raw.select("src", "dst").union(more), self.keep, self.prune)
+
+    def without_edges(self, pairs: list[tuple[int, int]]) -> Graph:
+        """The graph without some edges, given in either direction."""
+        gone = self.raw.sparkSession.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long")
+        return Graph(self.edges.join(gone, ["a", "b"], "left_anti").toDF("src", "dst"), self.keep, self.prune, undirected=True)
+
+    def without_vertices(self, ids: list[int]) -> Graph:
+        gone = self.raw.sparkSession.createDataFrame([(i,) for i in ids], "v long")
+        left = self.edges.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti")
+        return Graph(left.select("a", "b").toDF("src", "dst"), self.keep, self.prune, undirected=True)
+
     @staticmethod
     def ids(df: DataFrame) -> DataFrame:
         """Packed BIGINT columns as vertex ids; others as they are."""

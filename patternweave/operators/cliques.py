@@ -110,12 +110,11 @@ def cliques_encoded(g: Graph, k: int) -> DataFrame:
     return local_graphs(g).groupBy("v").applyInPandas(encode, kind)
 
 
-def encoded_counts(encoded: DataFrame) -> DataFrame:
-    """(v, cnt) of encoded cliques: a binomial of the core and the lengths of common lists."""
+def encoded_counts(encoded: DataFrame, k: int) -> DataFrame:
+    """(v, cnt) of encoded k-cliques: a binomial of the core and the lengths of common lists."""
     from ..functions.arrays import binomial
 
-    k = encoded.select("k").first()
-    inside = binomial(F.size("core"), k.k - 1) if k else F.lit(0).cast("long")
+    inside = binomial(F.size("core"), k - 1)
     listed = F.aggregate("partial", F.lit(0).cast("long"), lambda n, p: n + F.size(p["common"]))
     return encoded.select("v", (inside + listed).alias("cnt")).where("cnt > 0")
 
@@ -197,24 +196,26 @@ def bron_kerbosch(near: dict[int, set[int]], base: set[int], left: set[int], don
 
 
 def maximal_cliques(g: Graph, least: int = 2) -> DataFrame:
-    """(members): all maximal cliques of at least ``least`` vertices, ascending ids.
+    """(members): all maximal cliques of at least ``least`` vertices (2 or more), ascending ids.
 
-    Each is found at its least vertex: there the larger neighbours may still
-    join and the smaller ones may only show that a clique isn't maximal.
+    Each is found at its least vertex among the larger neighbours, whose number
+    the order by degree bounds.  A smaller vertex shows that one isn't maximal
+    if it makes a triangle with the least member and each other one: that is
+    looked up by joins, so no group holds a hub's smaller neighbours.
     """
 
     def found(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = int(key[0])
-        near = _near((a, b) for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True) if b >= 0)
-        around = {int(a) for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True) if b < 0}
-        larger, smaller = {x for x in around if x > v}, {x for x in around if x < v}
-        rows = [sorted(c) for c in bron_kerbosch(near, {v}, larger, smaller)]
-        return pd.DataFrame({"members": pd.Series([c for c in rows if len(c) >= least], dtype=object)})
+        ties = [(int(a), int(b)) for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)]
+        rows = bron_kerbosch(_near(t for t in ties if t[1] >= 0), {v}, {a for a, b in ties if b < 0}, set())
+        return pd.DataFrame({"members": pd.Series([sorted(c) for c in rows if len(c) >= max(2, least)], dtype=object)})
 
-    star = g.adjacent.select("v", F.col("n").alias("a"), F.lit(-1).cast("long").alias("b"))
-    ties = g.triangles.selectExpr("stack(3, v1, v2, v3, v2, v1, v3, v3, v1, v2) as (v, a, b)")
-    made = star.union(ties).groupBy("v").applyInPandas(found, "members array<long>")
-    return made.select(F.array_sort(F.transform("members", vertex_id)).alias("members"))
+    larger = g.oriented.select(F.col("u").alias("v"), F.col("w").alias("a"), F.lit(-1).cast("long").alias("b"))
+    made = larger.union(local_graphs(g)).groupBy("v").applyInPandas(found, "members array<long>")
+    pairs = made.select("members", F.col("members")[0].alias("v2"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("v3"))
+    seen = pairs.join(g.triangles, ["v2", "v3"]).groupBy("members", "v1").agg(F.count("*").alias("ties")).where("ties = size(members) - 1")
+    kept = made.join(seen.select("members").distinct(), "members", "left_anti")
+    return kept.select(F.array_sort(F.transform("members", vertex_id)).alias("members"))
 
 
 def largest_clique(g: Graph) -> DataFrame:
@@ -226,23 +227,29 @@ def largest_clique(g: Graph) -> DataFrame:
 def disjoint_cliques(g: Graph, least: int) -> DataFrame:
     """(members): maximal cliques of at least ``least`` vertices that share none with a larger (or earlier) one.
 
-    Rounds of local decisions: a clique stays if it comes first for each of its vertices.
+    Rounds of local decisions: a clique stays if it comes first for each of its
+    vertices.  Each round is a table in the shared folder, so plans don't grow.
     """
     from functools import reduce
 
-    left = maximal_cliques(g, least).withColumn("rank", F.struct(-F.size("members"), "members"))
-    out = []
-    while True:
-        left = left.persist()
-        if left.isEmpty():
-            break
+    from ..sources.tables import materialize
+
+    left = materialize(maximal_cliques(g, least).withColumn("rank", F.struct(-F.size("members"), "members")), "cliques-left")
+    out = [left.select("members").limit(0)]
+    while not left.isEmpty():
         spread = left.select("rank", "members", F.explode("members").alias("v"))
         first = spread.groupBy("v").agg(F.min("rank").alias("best"))
-        stays = spread.join(first, "v").groupBy("rank", "members").agg(F.every(F.col("rank") == F.col("best")).alias("ok")).where("ok").select("members").persist()
-        out.append(stays)
-        used = stays.select(F.explode("members").alias("v"))
+        stays = spread.join(first, "v").groupBy("rank", "members").agg(F.every(F.col("rank") == F.col("best")).alias("ok")).where("ok").select("members")
+        out.append(materialize(stays, "cliques-kept"))
+        used = out[-1].select(F.explode("members").alias("v"))
         gone = spread.join(used, "v", "left_semi").select("rank").distinct()
-        left = left.join(gone, "rank", "left_anti")
-    return reduce(DataFrame.union, out) if out else left.select("members")
+        left = materialize(left.join(gone, "rank", "left_anti"), "cliques-left")
+    return reduce(DataFrame.union, out)
 
 
+def compare_counts(g: Graph, k: int, over: int = 0) -> DataFrame:
+    """(v, joined, encoded): the k-cliques by least vertex as joins and as encoded sets count them, where either has more than ``over``."""
+    a = clique_counts(g, k).withColumnRenamed("cnt", "joined")
+    b = encoded_counts(cliques_encoded(g, k), k).withColumnRenamed("cnt", "encoded")
+    both = a.join(b, "v", "full").select("v", F.coalesce("joined", F.lit(0)).cast("long").alias("joined"), F.coalesce("encoded", F.lit(0)).cast("long").alias("encoded"))
+    return both.where(F.greatest("joined", "encoded") > over)

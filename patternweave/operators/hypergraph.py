@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vertex import degree
 from ..graph import Graph
+from ..sources.tables import materialize
 
 
 def _by_signature(g: Graph, closed: bool, most_degree: int) -> DataFrame:
@@ -66,9 +67,9 @@ def expand(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def triangle_count(g: Graph) -> DataFrame:
     """(cnt): triangles counted on classes with their sizes, without expanding them."""
-    classes = hypervertices(g).persist()
+    classes = materialize(hypervertices(g), "twin-classes")
     size = classes.groupBy("rep").agg(F.count("*").alias("s"), F.max(F.col("kind") == "clique").alias("k"))
-    e = hyperedges(g, classes).persist()
+    e = materialize(hyperedges(g, classes), "class-edges")
     a, b, c = (size.select(F.col("rep").alias(x), F.col("s").alias(f"s{x}"), F.col("k").alias(f"k{x}")) for x in "pqr")
     pair = e.join(a, "p").join(b, "q")
     tri = pair.join(e.select("p", F.col("q").alias("r")), "p").where("q < r").join(e.select(F.col("p").alias("q"), F.col("q").alias("r")), ["q", "r"]).join(c, "r")
@@ -76,3 +77,19 @@ def triangle_count(g: Graph) -> DataFrame:
     two = pair.select((F.when(F.col("kp"), F.col("sp") * (F.col("sp") - 1) / 2 * F.col("sq")).otherwise(0) + F.when(F.col("kq"), F.col("sq") * (F.col("sq") - 1) / 2 * F.col("sp")).otherwise(0)).cast("long").alias("n"))
     one = size.where("k").select((F.col("s") * (F.col("s") - 1) * (F.col("s") - 2) / 6).cast("long").alias("n"))
     return three.union(two).union(one).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("cnt"))
+
+
+def rebuilt(g: Graph) -> Graph:
+    """The graph whose edges are expanded from classes of twins: queries on it see members, each as often as its class allows."""
+    classes = materialize(hypervertices(g), "twin-classes")
+    return Graph(Graph.ids(expand(classes, hyperedges(g, classes))).toDF("src", "dst"), g.keep, g.prune, undirected=True)
+
+
+def statistics(g: Graph) -> DataFrame:
+    """(kind, classes, members, edges): classes of each kind, their vertices, and the edges that have an end in one."""
+    classes = materialize(hypervertices(g), "twin-classes")
+    kinds = classes.groupBy("kind").agg(F.countDistinct("rep").alias("classes"), F.count("*").alias("members"))
+    of = classes.select("member", "kind")
+    ends = g.oriented.join(of.withColumnsRenamed({"member": "u", "kind": "ku"}), "u").join(of.withColumnsRenamed({"member": "w", "kind": "kw"}), "w")
+    on = ends.select(F.explode(F.array_distinct(F.array("ku", "kw"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("edges"))
+    return kinds.join(on, "kind")

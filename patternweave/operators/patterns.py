@@ -68,6 +68,11 @@ def chunk_pairs(lists: DataFrame, column: str, threshold: int) -> DataFrame:
     return both.select(*[c for c in lists.columns if c != column], F.col("_a").alias(column), F.col("_b").alias("more"), (F.col("_i") == F.col("_j")).alias("same"))
 
 
+def in_chunks(rows: DataFrame, column: str, threshold: int) -> DataFrame:
+    """Rows whose array ``column`` is longer than ``threshold`` as several rows, a chunk each (0: as they are)."""
+    return rows.withColumn(column, F.explode(chunks(F.col(column), threshold))) if threshold else rows
+
+
 def square_sides(sq: DataFrame) -> DataFrame:
     """(x, y, o1, o2): the four sides x < y of each square, and the two other corners."""
     s = sq.selectExpr("stack(4, v1, v2, v3, v4, v1, v4, v2, v3, v2, v3, v1, v4, v3, v4, v1, v2) as (p, q, o1, o2)")
@@ -109,6 +114,15 @@ def houses(g: Graph, sq: DataFrame | None = None, apexes: DataFrame | None = Non
     return sides.join(te, ["x", "y"]).where("apex <> o1 and apex <> o2")
 
 
+def houses_compressed(g: Graph, threshold: int = 0, sq: DataFrame | None = None) -> DataFrame:
+    """(x, y, o1, o2, apexes): houses that differ in the top alone, as one row; tops over ``threshold`` in chunks."""
+    sides = square_sides(squares(g) if sq is None else sq)
+    tops = g.edge_apexes.groupBy("x", "y").agg(F.array_sort(F.collect_list("z")).alias("apexes"))
+    # chunks are cut before the join, so that no long list is carried by each square
+    met = sides.join(in_chunks(tops, "apexes", threshold), ["x", "y"])
+    return met.withColumn("apexes", F.filter("apexes", lambda z: (z != F.col("o1")) & (z != F.col("o2")))).where("size(apexes) > 0")
+
+
 def houses_from_wedges(g: Graph) -> DataFrame:
     """The same from edge-disjoint parts: squares and wedges over a side."""
     return houses(g, apexes=g.wedges)
@@ -134,6 +148,20 @@ def solar_squares(g: Graph) -> DataFrame:
     return t.where("z < p").alias("a").join(t.alias("b"), on).select("a.hub", F.col("a.z").alias("v1"), F.col("a.p").alias("v2"), F.col("b.z").alias("v3"), F.col("a.q").alias("v4"))
 
 
+def solar_squares_compressed(g: Graph, threshold: int = 0) -> DataFrame:
+    """(hub, p, q, mids): all rim vertices between p < q, sorted, where one below p is among them; with ``threshold`` in pairs of chunks (mids, more)."""
+    lists = hub_triples(chordal_squares(g)).groupBy("hub", "p", "q").agg(F.array_sort(F.collect_list("z")).alias("mids")).where("size(mids) > 1 and mids[0] < p")
+    return lists if not threshold else chunk_pairs(lists, "mids", threshold)
+
+
+def pairs_with_lesser(lists: DataFrame, low: str, mids: str = "mids") -> DataFrame:
+    """(cnt): pairs of a list's elements, the lesser below column ``low``, summed over rows of chunk pairs."""
+    below = lambda c: F.size(F.filter(c, lambda z: z < F.col(low)))
+    a, b, la, lb = F.size(mids), F.size("more"), below(mids), below("more")
+    inner = F.when(F.col("same"), F.shiftright(la * (2 * a - 1 - la), 1)).otherwise(la * b + (a - la) * lb)
+    return total(lists, inner.cast("long"))
+
+
 def solar_squares_left_deep(g: Graph) -> DataFrame:
     """The same by a chordal square (hub, v2 with v1, v3), a triangle (hub, v2?..): three joins in a row.
 
@@ -160,6 +188,14 @@ def twin_triangles(g: Graph) -> DataFrame:
     return t.join(r, "c").where("a < p and b <> p and b <> q")
 
 
+def twin_triangles_compressed(g: Graph, threshold: int = 0) -> DataFrame:
+    """(c, edges): a vertex and the edges opposite to it; two without a common vertex are a bow tie.  With ``threshold`` in pairs of chunks (edges, more)."""
+    from .wedges import vertex_pairs
+
+    lists = vertex_pairs(g.triangles).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges")).where("size(edges) > 1")
+    return lists if not threshold else chunk_pairs(lists, "edges", threshold)
+
+
 def triangles_at(g: Graph) -> DataFrame:
     """(v, n): triangles at each vertex."""
     return g.triangles.select(F.explode(F.array("v1", "v2", "v3")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
@@ -174,6 +210,14 @@ def near_5_cliques(g: Graph, four: DataFrame) -> DataFrame:
     return sides.join(g.edge_apexes.withColumnRenamed("z", "apex"), ["x", "y"]).where("apex <> o1 and apex <> o2")
 
 
+def near_5_cliques_compressed(g: Graph, four: DataFrame, threshold: int = 0) -> DataFrame:
+    """(x, y, o1, o2, apexes): matches that differ in the fifth vertex alone, as one row; longer lists in chunks."""
+    sides = four.selectExpr("stack(6, v1, v2, v3, v4, v1, v3, v2, v4, v1, v4, v2, v3, v2, v3, v1, v4, v2, v4, v1, v3, v3, v4, v1, v2) as (x, y, o1, o2)")
+    tops = g.edge_apexes.groupBy("x", "y").agg(F.array_sort(F.collect_list("z")).alias("apexes"))
+    met = sides.join(in_chunks(tops, "apexes", threshold), ["x", "y"])
+    return met.withColumn("apexes", F.filter("apexes", lambda z: (z != F.col("o1")) & (z != F.col("o2")))).where("size(apexes) > 0")
+
+
 # --- fans
 
 
@@ -209,6 +253,48 @@ def fan_counts(g: Graph) -> DataFrame:
     return met.groupBy("h", "m").agg(F.sum(n.cast("long") * k.cast("long") - c.cast("long")).alias("cnt"))
 
 
+def fan_count_by_halves(g: Graph) -> DataFrame:
+    """(cnt): fans without their rows and without arrays.
+
+    A half is an inner vertex p and its outer end o; two halves of one hub h and
+    middle m are a fan unless they share p, share o, or one's o is the other's
+    p.  With t triangles on the edge (h, p) there are t - 1 halves of (h, m, p),
+    and with w vertices between m and o around h there are w of (h, m, o), so
+    all numbers come from triangles and one aggregate over chordal squares.
+    """
+    from .wedges import vertex_pairs
+
+    on = apex_counts(g)
+
+    def counted(rows: DataFrame, v: str, name: str) -> DataFrame:
+        own = on.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("n").alias(name))
+        return rows.join(own, (F.least("c", v) == F.col("_x")) & (F.greatest("c", v) == F.col("_y"))).drop("_x", "_y")
+
+    around = counted(counted(vertex_pairs(g.triangles), "a", "ta"), "b", "tb")
+    ends = around.selectExpr("stack(2, c, a, tb - 1, c, b, ta - 1) as (h, m, k)")
+    whole = ends.groupBy("h", "m").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s")).select(F.shiftright(F.col("n") * F.col("n") - F.col("s"), 1).alias("k"))
+    between = hub_triples(chordal_squares(g)).groupBy("hub", "p", "q").agg(F.count("*").alias("w"))
+    tied = between.join(around.select(F.col("c").alias("hub"), F.col("a").alias("p"), F.col("b").alias("q"), (F.col("ta") + F.col("tb") - 3).alias("t")), ["hub", "p", "q"], "left")
+    w = F.col("w")
+    return total(whole.union(tied.select((-w * (w - 1) - w * F.coalesce("t", F.lit(0))).alias("k"))), F.col("k"))
+
+
+def fan_counts_left_deep(g: Graph) -> DataFrame:
+    """(h, m, cnt): the counts of ``fan_counts`` by two joins in a row that carry the list of outer ends along.
+
+    A compressed chordal square (h, p) with middle m and its ends, a triangle
+    (h, m, r), then the compressed chordal square (h, r).
+    """
+    sides = chordal_squares_compressed(g).selectExpr("stack(2, x, y, apexes, y, x, apexes) as (h, p, ends)")
+    first = sides.select("h", "p", "ends", F.explode("ends").alias("m"))
+    second = first.join(g.edge_apexes.selectExpr("stack(2, x, y, z, y, x, z) as (h, m, r)"), ["h", "m"]).where("p < r")
+    met = second.join(sides.select("h", F.col("p").alias("r"), F.col("ends").alias("more")), ["h", "r"])
+    n = F.size("ends") - 1 - F.array_contains("ends", F.col("r")).cast("int")
+    k = F.size("more") - 1 - F.array_contains("more", F.col("p")).cast("int")
+    c = F.size(F.array_intersect("ends", "more")) - 1
+    return met.groupBy("h", "m").agg(F.sum(n.cast("long") * k.cast("long") - c.cast("long")).alias("cnt"))
+
+
 def fans_left_deep(g: Graph) -> DataFrame:
     """The same by a chordal square, then a triangle (h, m, r), then a triangle (h, r, s)."""
     first = fan_halves(chordal_squares(g))

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.vertex import degree, pack
 
 
-def undirect(raw: DataFrame) -> DataFrame:
-    """Distinct edges (a < b) without loops, of any raw (src, dst); rows with a null end are left out."""
+def undirect(raw: DataFrame, distinct: bool = True) -> DataFrame:
+    """Distinct edges (a < b) without loops, of any raw (src, dst); rows with a null end are left out.
+
+    Without ``distinct`` the rows are taken to be different edges, and nothing is shuffled.
+    """
     ends = raw.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    return ends.distinct()
+    return ends.distinct() if distinct else ends
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -6,15 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# A Lehmer generator's modulus and multipliers.
+_MODULUS, _STEP, _NEXT = 2147483647, 48271, 69621
+
+
+def _share(ids: list, seed: int, rate: float):
+    """Whether a number drawn from ids by plain arithmetic, the same in every engine, is in the first ``rate`` of its range."""
+    drawn = F.lit(seed % _MODULUS).cast("long")
+    for one in ids:
+        drawn = F.pmod((drawn + F.pmod(one, F.lit(_MODULUS)) * _STEP) * _NEXT % _MODULUS * _STEP, F.lit(_MODULUS))
+    return drawn < int(rate * _MODULUS)
+
+
 def sample_vertices(edges: DataFrame, rate: float, seed: int = 42) -> DataFrame:
     """Edges (a, b) with both ends in a sample of vertices; a vertex is in by a seeded hash, the same in every run."""
-    taken = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1_000_000)) < int(rate * 1_000_000)
-    return edges.where(taken("a") & taken("b"))
+    return edges.where(_share([F.col("a")], seed, rate) & _share([F.col("b")], seed, rate))
 
 
 def sample_edges(edges: DataFrame, rate: float, seed: int = 42) -> DataFrame:
     """A seeded sample of edges."""
-    return edges.where(F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return edges.where(_share([F.col("a"), F.col("b")], seed, rate))
 
 
 def sample_vertices_modulo(edges: DataFrame, modulus: int, keep: int) -> DataFrame:

@@ -15,7 +15,11 @@ class Options:
     ``compressed`` asks for factorised results, ``count_only`` for counts;
     ``degree_prune`` drops vertices of degree 1 (no supported pattern has one);
     ``bloom`` leaves Spark's run-time Bloom filters on; ``partition_threshold``
-    is the list length from which compressed lists are dealt in chunks (0: never).
+    is the list length from which compressed lists are dealt in chunks (0: never);
+    ``undirected`` says that the input lists each edge once, so none is looked
+    for twice; ``hypergraph`` runs on the graph rebuilt from classes of twins;
+    ``stages`` is a folder where squares, chordal squares and 4-cliques are kept
+    and read again by later runs.
     """
 
     query: str = "square"
@@ -37,6 +41,7 @@ class Options:
     degree_prune: bool = True
     clique_threshold: int = 20
     partition_threshold: int = 0
+    stages: str = ""
     sample_rate: float = 0.2
     sample_type: str = "vertex"
     seed: int = 42

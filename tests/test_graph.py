@@ -73,7 +73,7 @@ def test_cliques(small, k):
         assert sum(r.cnt for r in cliques.clique_counts(g, k).collect()) == want
         assert twintwig.cliques(g, k).count() == want
         encoded = cliques.cliques_encoded(g, k)
-        assert sum(r.cnt for r in cliques.encoded_counts(encoded).collect()) == want
+        assert sum(r.cnt for r in cliques.encoded_counts(encoded, k).collect()) == want
         assert {tuple(r) for r in cliques.expand_encoded(encoded, k).collect()} == {tuple(r) for r in rows.collect()}
 
 
