@@ -60,11 +60,6 @@ def drop_tables(since: int = 0, keep: str = "") -> None:
                 continue
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder of a table that ``materialize`` has returned."""
-    return df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: lost executors lose nothing of it."""
     spark = df.sparkSession
