@@ -1,13 +1,14 @@
 """Personal data: exact base patterns and a character tagger.
 
 The tagger is a bidirectional LSTM over characters with a linear-chain CRF,
-trained in numpy from generated texts with labelled spans.  Texts are cut into
-overlapping windows; where windows overlap, their scores are blended by the
-distance to the windows' ends, and one Viterbi pass over each covered stretch
-reconciles them.  Every kind holds a digit or an @ by definition, so a window
-with neither holds no span and is not scored.
-
-Base spans always stay; a span of the tagger is added if it overlaps none.
+trained in numpy from generated texts with labelled spans.  Every text is cut
+into overlapping windows and each window is scored; where windows overlap,
+their scores are blended by the distance to the windows' ends, and the best
+path over the whole text reconciles them.  That path is only sought where a
+bound on its gain leaves it open whether there is a span.
+
+Base spans always stay; a span of the tagger is added if it overlaps none and
+holds what its kind must (``plausible``; a secret has a digit and 12 characters).
 """
 
 from __future__ import annotations
@@ -24,12 +25,11 @@ from . import runtime
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = 1 + 2 * len(KINDS)
-#: Characters of a window, and from one window's start to the next.
-WINDOW, STRIDE = 96, 64
-HIDDEN, BATCH, EPOCHS, EXAMPLES, RATE = 16, 64, 6, 3200, 0.012
+#: Characters of a window, and from one window's start to the next; ``TAUGHT``: of those that it is trained on.
+WINDOW, STRIDE = 256, 224
+TAUGHT, HIDDEN, BATCH, EPOCHS, EXAMPLES, RATE = 96, 12, 64, 6, 3200, 0.012
 #: Symbols: ASCII characters, any other letter, anything else.
 SYMBOLS = 130
-LEAST = 5
 
 _CLASS = r"[A-Za-z0-9._%+-]"
 _LOCAL_END = re.compile(_CLASS + r"+\Z")
@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def symbols(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 128, points, np.where(points < 0x2000, 128, 129)).astype(np.int64)
+    return np.where(points < 128, points, np.where(points < 0x2000, 128, 129)).astype(np.uint8)
 
 
 def examples(count: int, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +112,11 @@ def examples(count: int, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
             return pick([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(11)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(6)}", f"+{digits(2)}-{digits(4)}-{digits(5)}"])
         return pick(["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), some(hexa, 18), some(hexa, 40), "ghp_" + some(low.upper() + low + "0123456789", 30), "sk-" + some(low + "0123456789", 24)])
 
-    xs, ys = np.full((count, WINDOW), 32), np.zeros((count, WINDOW), np.int64)
+    xs, ys = np.full((count, TAUGHT), 32), np.zeros((count, TAUGHT), np.int64)
     for n in range(count):
         text, tags = "", []
         for _ in range(40):
-            if len(text) > WINDOW + 30:
+            if len(text) > TAUGHT + 30:
                 break
             u = r.random()
             lead = " " if r.random() < 0.9 else "\n"
@@ -131,8 +131,8 @@ def examples(count: int, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
                 s = decoy() if u < 0.24 else word()
                 text += lead + s
                 tags += [0] * (1 + len(s))
-        at = int(r.integers(0, max(1, len(text) - WINDOW)))
-        x = symbols(text[at : at + WINDOW])
+        at = int(r.integers(0, max(1, len(text) - TAUGHT)))
+        x = symbols(text[at : at + TAUGHT])
         xs[n, : len(x)] = x
         ys[n, : len(x)] = tags[at : at + len(x)]
     return xs, ys
@@ -172,11 +172,34 @@ class Tagger:
                 kept.append((t, g, u, old, tc, was))
         return out, kept
 
+    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """The hidden states of ``_run``, in place: a sigmoid is half a tanh of half its argument, so one tanh serves all gates."""
+        h, n = HIDDEN, x.shape[1]
+        half = np.concatenate((np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)))
+        wx, wh = self.p[d + "x"] * half, self.p[d + "h"] * half
+        out, c, z = np.empty((len(x), n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, 4 * h), np.float32)
+        s, more = np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            np.take(wx, x[t], axis=0, out=z, mode="clip")
+            z += s @ wh
+            np.tanh(z, out=z)
+            g = z[:, : 3 * h]
+            g *= 0.5
+            g += 0.5
+            c *= g[:, h : 2 * h]
+            np.multiply(g[:, :h], z[:, 3 * h :], out=more)
+            c += more
+            np.tanh(c, out=more)
+            s = np.multiply(g[:, 2 * h :], more, out=out[t])
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Scores (rows, steps, TAGS) of windows of symbols (rows, steps)."""
-        xt = x.T
-        both = np.concatenate((self._run("f", xt, False)[0], self._run("b", xt, False)[0]), axis=2)
-        return (both @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
+        xt, h, p = np.ascontiguousarray(x.T), HIDDEN, self.p
+        e = self._states("f", xt) @ p["out"][:h]
+        e += self._states("b", xt) @ p["out"][h:]
+        e += p["bias"]
+        return np.ascontiguousarray(e.transpose(1, 0, 2))
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of a batch and its gradients."""
@@ -229,11 +252,34 @@ class Tagger:
                 ds, dc = dz @ wh.T, dc * forget
         return float((z - gold).mean()), grads
 
+    def bounds(self) -> tuple[float, float]:
+        """(step, need): moves of a path that leaves "no span" for n characters and comes back sum to ``n * step - need`` at most, against staying.
+
+        ``step`` is just so great that no cycle of moves gains more; then the
+        best sum of moves up to each tag is finite and found by relaxation.
+        """
+        p = {k: self.p[k].astype(np.float64) for k in ("move", "begin", "finish")}
+        none = p["move"][0, 0]
+        move = p["move"][1:, 1:] - none
+        enter = np.maximum(p["move"][0, 1:] - none, p["begin"][1:] - p["begin"][0])
+        leave = np.maximum(p["move"][1:, 0] - none, p["finish"][1:] - p["finish"][0])
+        step = float(move.diagonal().max())
+        while True:
+            best = enter - step
+            for _ in range(2 * TAGS):
+                more = np.maximum(best, (best[:, None] + move - step).max(0))
+                if np.allclose(more, best, atol=1e-12):
+                    # a little is left for rounding in single precision
+                    return step + 1e-4, -float((best + leave).max()) - 1e-2
+                best = more
+            step += 0.02 + 0.02 * abs(step)
+
     def decode(self, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """Best tags of stretches (rows, steps, TAGS), of ``lengths`` steps each."""
         n, steps, _ = e.shape
         move = self.p["move"]
-        best = self.p["begin"] + e[:, 0]
+        # in double precision: over long stretches sums in single precision lose the small differences
+        best = (self.p["begin"] + e[:, 0]).astype(np.float64)
         back = np.zeros((steps, n, TAGS), np.int8)
         final = best + self.p["finish"]
         for t in range(1, steps):
@@ -277,68 +323,132 @@ def trained() -> Tagger:
 
 #: Weight of a character's score by its place in a window: less near the ends.
 _BLEND = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
+#: Windows that pass through the network at once.
+_ROWS = 2048
+
+
+def blended(x: np.ndarray, ends: np.ndarray, tagger: Tagger) -> np.ndarray:
+    """Scores (characters, TAGS) of texts that stand one after the other: every window is scored, and those that overlap are blended.
+
+    Each text is laid out from a whole stride on, with a stride to spare, so
+    that a window's scores are added to two rows of strides.
+    """
+    size = np.diff(ends)
+    count = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
+    row = np.cumsum(count + 1) - (count + 1)
+    rows = np.flatnonzero(np.bincount(row + count, minlength=int((count + 1).sum())) == 0)
+    place = np.arange(len(x)) + np.repeat(STRIDE * row - ends[:-1], size)
+    laid = np.full((int((count + 1).sum()) + 1) * STRIDE, 32, x.dtype)
+    laid[place] = x
+    windows = np.lib.stride_tricks.sliding_window_view(laid, WINDOW)[::STRIDE]
+    sums = np.zeros((len(laid) // STRIDE, STRIDE, TAGS), np.float32)
+    weight = np.zeros((len(laid) // STRIDE, STRIDE), np.float32)
+    lap = WINDOW - STRIDE
+    for k in range(0, len(rows), _ROWS):
+        own = rows[k : k + _ROWS]
+        e = tagger.emissions(windows[own])
+        e *= _BLEND[:, None]
+        sums[own] += e[:, :STRIDE]
+        sums[own + 1, :lap] += e[:, STRIDE:]
+        weight[own] += _BLEND[:STRIDE]
+        weight[own + 1, :lap] += _BLEND[STRIDE:]
+    return sums.reshape(-1, TAGS)[place] / weight.ravel()[place, None]
+
+
+def doubtful(e: np.ndarray, ends: np.ndarray, tagger: Tagger) -> list[tuple[int, int, int]]:
+    """(text, first, end) of the stretches outside which no best path has a span.
+
+    An excursion of a path from "no span" gains at most the sum of its
+    characters' gains, less what it ``need``s (``bounds``).  Of a paying
+    excursion cut in two, one part sums to over half of that; a character with
+    no such run before or after it is in no paying excursion.
+    """
+    step, need = tagger.bounds()
+    gain = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + step
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    # sums run on over the texts; each is lowered by more than any gain, so that no least sum reaches over an end
+    fall = (np.abs(gain).sum() + 1) * owner
+    before = np.concatenate(([0.0], np.cumsum(gain)))
+    upto = before[1:] - fall - np.minimum.accumulate(before[:-1] - fall)
+    after = np.maximum.accumulate((before[1:] - fall)[::-1])[::-1] - (before[:-1] - fall)
+    half = min(need, need / 2)
+    hot = upto > half
+    hot[:-1] |= (after[1:] > half) & (owner[1:] == owner[:-1])
+    near = np.flatnonzero(hot)
+    if not len(near):
+        return []
+    new = np.ones(len(near), bool)
+    new[1:] = (np.diff(near) > 1) | (owner[near[1:]] != owner[near[:-1]])
+    edge = np.flatnonzero(new)
+    paying = np.maximum.reduceat(upto[near], edge) > need
+    first, last = near[edge], near[np.concatenate((edge[1:], [len(near)])) - 1]
+    return [(int(owner[a]), int(a), int(b) + 1) for a, b in zip(first[paying], last[paying], strict=True)]
+
+
+#: Characters of a very long text that are scored at once, and those around a part that it is scored with; whole strides.
+PART, MARGIN = STRIDE << 12, STRIDE << 4
 
 
 def tag(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) of the tagger's spans in each text."""
+    """(kind, start, end) of the tagger's spans in each text.
+
+    A text over ``PART`` characters is scored in parts with a margin on either
+    side; a span belongs to the part in which it starts.
+    """
+    parts = [(k, a) for k, t in enumerate(texts) for a in range(0, len(t), PART)]
+    begin = [max(0, a - MARGIN) for _, a in parts]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    rows, owner, begin, codes = [], [], [], {}
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        x = symbols(text)
-        anchor = np.concatenate(([0], np.cumsum((x == 64) | ((x >= 48) & (x <= 57)))))
-        if not anchor[-1]:
-            continue
-        codes[k] = x
-        starts = np.arange(0, max(1, len(x) - (WINDOW - STRIDE)), STRIDE)
-        ends = np.minimum(starts + WINDOW, len(x))
-        starts = starts[anchor[ends] > anchor[starts]]
-        padded = np.concatenate((x, np.full(WINDOW, 32)))
-        rows.append(padded[starts[:, None] + np.arange(WINDOW)])
-        owner += [k] * len(starts)
-        begin += starts.tolist()
-    if not rows:
+    at = 0
+    while at < len(parts):
+        # parts of about PART characters in all go together
+        to, size = at, 0
+        while to < len(parts) and (to == at or size + len(texts[parts[to][0]]) <= PART):
+            size += len(texts[parts[to][0]])
+            to += 1
+        cut = [texts[k][b : a + PART + MARGIN] for (k, a), b in zip(parts[at:to], begin[at:to], strict=True)]
+        for (k, a), b, spans in zip(parts[at:to], begin[at:to], _tagged(cut, tagger), strict=True):
+            found[k] += [(kind, b + x, b + y) for kind, x, y in spans if a <= b + x < a + PART]
+        at = to
+    return [sorted(s for s in spans if plausible(s[0], texts[k][s[1] : s[2]])) for k, spans in enumerate(found)]
+
+
+def _tagged(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    if not ends[-1]:
         return found
-    x = np.concatenate(rows)
-    e = np.concatenate([tagger.emissions(x[k : k + 512]) for k in range(0, len(x), 512)])
-    # stretches of windows that overlap, blended
-    stretches: list[tuple[int, int, np.ndarray]] = []
-    k = 0
-    while k < len(owner):
-        j = k + 1
-        while j < len(owner) and owner[j] == owner[k] and begin[j] == begin[j - 1] + STRIDE:
-            j += 1
-        size = min(begin[j - 1] + WINDOW, len(codes[owner[k]])) - begin[k]
-        sums, weight = np.zeros((size, TAGS), np.float32), np.zeros((size, 1), np.float32)
-        for i in range(k, j):
-            at = begin[i] - begin[k]
-            n = min(WINDOW, size - at)
-            sums[at : at + n] += e[i, :n] * _BLEND[:n, None]
-            weight[at : at + n] += _BLEND[:n, None]
-        stretches.append((owner[k], begin[k], sums / weight))
-        k = j
-    stretches.sort(key=lambda s: len(s[2]))
+    x = symbols("".join(texts))
+    e = blended(x, ends, tagger)
+    # every kind holds a digit or an @, so a stretch with neither has nothing that would be kept
+    anchors = np.concatenate(([0], np.cumsum((x == 64) | ((x >= 48) & (x <= 57)))))
+    stretches = sorted((s for s in doubtful(e, ends, tagger) if anchors[s[2]] > anchors[s[1]]), key=lambda s: s[2] - s[1])
     k = 0
     while k < len(stretches):
-        # stretches of like length go together, within a bound on the array
+        # stretches of like length go together, within a bound on the array; beside each stands a character without a span
         j = k + 1
-        while j < len(stretches) and len(stretches[j][2]) <= 1.3 * len(stretches[k][2]) + 8 and (j - k) * len(stretches[j][2]) < 1 << 15:
+        while j < len(stretches) and (stretches[j][2] - stretches[j][1]) <= 1.3 * (stretches[k][2] - stretches[k][1]) + 8 and (j - k) * (stretches[j][2] - stretches[j][1]) < 1 << 15:
             j += 1
-        group = stretches[k:j]
-        lengths = np.array([len(s[2]) for s in group])
+        group = [(o, a, b, int(a > ends[o]), int(b < ends[o + 1])) for o, a, b in stretches[k:j]]
+        lengths = np.array([b - a + left + right for _, a, b, left, right in group])
         padded = np.zeros((len(group), lengths.max(), TAGS), np.float32)
-        for i, s in enumerate(group):
-            padded[i, : len(s[2])] = s[2]
-        for (o, at, _), path in zip(group, tagger.decode(padded, lengths), strict=True):
-            inside = np.concatenate(([0], path, [0]))
-            kind = (inside + 1) // 2
-            edge = np.flatnonzero((kind[1:] != kind[:-1]) | ((inside[1:] % 2 == 1) & (inside[1:] > 0)))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(path)][: len(edge)], strict=True):
-                if a < len(path) and kind[a + 1] and b - a >= LEAST:
-                    found[o].append((int(kind[a + 1]) - 1, at + a, at + b))
+        for i, (_, a, b, left, right) in enumerate(group):
+            padded[i, : lengths[i]] = e[a - left : b + right]
+            if left:
+                padded[i, 0, 1:] = -1e6
+            if right:
+                padded[i, lengths[i] - 1, 1:] = -1e6
+        for (o, a, _, left, _), path in zip(group, tagger.decode(padded, lengths), strict=True):
+            found[o] += [(kind, int(a - left - ends[o]) + x, int(a - left - ends[o]) + y) for kind, x, y in spans_of(path)]
         k = j
-    return [sorted(s for s in spans if plausible(s[0], texts[k][s[1] : s[2]])) for k, spans in enumerate(found)]
+    return found
+
+
+def spans_of(path: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of a path of tags: 0 none, then for each kind its first character and others."""
+    inside = np.concatenate(([0], path, [0]))
+    kind = (inside + 1) // 2
+    edge = np.flatnonzero((kind[1:] != kind[:-1]) | ((inside[1:] % 2 == 1) & (inside[1:] > 0)))
+    return [(int(kind[a + 1]) - 1, a, b) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(path)][: len(edge)], strict=True) if a < len(path) and kind[a + 1]]
 
 
 def plausible(kind: int, found: str) -> bool:
@@ -374,7 +484,9 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One row per document: doc_id, base and spans (arrays of kind, start, end; code points, end exclusive).
 
     ``base`` has the exact patterns, ``spans`` these and the tagger's.  A null
-    text counts as empty.  Rows stay one by one; other columns are left out.
+    text counts as empty: no spans.  Rows stay one by one, repeated or null ids
+    included; other columns are left out, so their names can't clash; an empty
+    table gives none.  Very long texts are scored in parts, with the same result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = "array<struct<kind:string,start:long,end:long>>"
@@ -394,4 +506,4 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
         return run
 
-    return runtime.map_slices(rows, "text", schema, make)
+    return runtime.map_slices(rows, "text", schema, make, limit=PART)

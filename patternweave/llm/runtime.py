@@ -1,13 +1,11 @@
-"""What the corpus operators share: the shared folder, tables that cut
-lineage, Arrow batches cut to a bounded number of bytes, shipped code."""
+"""What the corpus operators share: tables that cut lineage (``sources.tables``),
+Arrow batches cut to a bounded number of bytes, shipped code."""
 
 from __future__ import annotations
 
-import atexit
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,51 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import drop_tables, mark, materialize, new_path, shared_dir
+
+__all__ = ["drop_tables", "mark", "materialize", "new_path", "shared_dir"]
+
 #: Bytes of text that a Python worker turns into arrays at once.
 SLICE_BYTES = 2 << 20
 
-_local_dir: str | None = None
 _shipped: set[str] = set()
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    global _local_dir
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="patternweave-")
-    return _local_dir
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if not _tables:
-        atexit.register(drop_tables)
-    _tables.append((spark, path))
-    return path
-
-
-def drop_tables() -> None:
-    """Delete the folders that this process has written; results read from them end here."""
-    while _tables:
-        spark, path = _tables.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended
-            return
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
