@@ -173,33 +173,43 @@ class Tagger:
         return out, kept
 
     def _states(self, d: str, x: np.ndarray) -> np.ndarray:
-        """The hidden states of ``_run``, in place: a sigmoid is half a tanh of half its argument, so one tanh serves all gates."""
+        """The hidden states of ``_run`` as (steps, HIDDEN, rows), in place: gates are whole blocks of memory.
+
+        A sigmoid is half a tanh of half its argument, so one tanh serves all gates.
+        """
         h, n = HIDDEN, x.shape[1]
         half = np.concatenate((np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)))
-        wx, wh = self.p[d + "x"] * half, self.p[d + "h"] * half
-        out, c, z = np.empty((len(x), n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, 4 * h), np.float32)
-        s, more = np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
+        wx, wh = np.ascontiguousarray((self.p[d + "x"] * half).T), np.ascontiguousarray((self.p[d + "h"] * half).T)
+        out, c, z = np.empty((len(x), h, n), np.float32), np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32)
+        s, more, back = np.zeros((h, n), np.float32), np.empty((h, n), np.float32), np.empty((4 * h, n), np.float32)
+        g, i, forget, o, u = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            np.take(wx, x[t], axis=0, out=z, mode="clip")
-            z += s @ wh
+            np.take(wx, x[t], axis=1, out=z, mode="clip")
+            z += np.matmul(wh, s, out=back)
             np.tanh(z, out=z)
-            g = z[:, : 3 * h]
             g *= 0.5
             g += 0.5
-            c *= g[:, h : 2 * h]
-            np.multiply(g[:, :h], z[:, 3 * h :], out=more)
-            c += more
-            np.tanh(c, out=more)
-            s = np.multiply(g[:, 2 * h :], more, out=out[t])
+            c *= forget
+            c += np.multiply(i, u, out=more)
+            s = np.multiply(o, np.tanh(c, out=more), out=out[t])
         return out
 
+    def _scores(self, x: np.ndarray) -> np.ndarray:
+        """(steps, TAGS, rows) of windows of symbols (rows, steps)."""
+        xt, h, p = np.ascontiguousarray(x.T).astype(np.intp), HIDDEN, self.p
+        e = np.matmul(np.ascontiguousarray(p["out"][:h].T), self._states("f", xt))
+        e += np.matmul(np.ascontiguousarray(p["out"][h:].T), self._states("b", xt))
+        e += p["bias"][:, None]
+        return e
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Scores (rows, steps, TAGS) of windows of symbols (rows, steps)."""
-        xt, h, p = np.ascontiguousarray(x.T), HIDDEN, self.p
-        e = self._states("f", xt) @ p["out"][:h]
-        e += self._states("b", xt) @ p["out"][h:]
-        e += p["bias"]
-        return np.ascontiguousarray(e.transpose(1, 0, 2))
+        return np.ascontiguousarray(self._scores(x).transpose(2, 0, 1))
+
+    def gains(self, x: np.ndarray) -> np.ndarray:
+        """(rows, steps): by how much the best tag of a span scores above none."""
+        e = self._scores(x)
+        return np.ascontiguousarray((e[:, 1:].max(1) - e[:, 0]).T)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of a batch and its gradients."""
@@ -324,47 +334,61 @@ def trained() -> Tagger:
 #: Weight of a character's score by its place in a window: less near the ends.
 _BLEND = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
 #: Windows that pass through the network at once.
-_ROWS = 2048
+_ROWS = 512
 
 
-def blended(x: np.ndarray, ends: np.ndarray, tagger: Tagger) -> np.ndarray:
-    """Scores (characters, TAGS) of texts that stand one after the other: every window is scored, and those that overlap are blended.
+class Layout:
+    """Texts that stand one after the other, each from a whole stride on with a stride to spare, and their windows.
 
-    Each text is laid out from a whole stride on, with a stride to spare, so
-    that a window's scores are added to two rows of strides.
+    The scores of a window are so added to two rows of strides.
     """
-    size = np.diff(ends)
-    count = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
-    row = np.cumsum(count + 1) - (count + 1)
-    rows = np.flatnonzero(np.bincount(row + count, minlength=int((count + 1).sum())) == 0)
-    place = np.arange(len(x)) + np.repeat(STRIDE * row - ends[:-1], size)
-    laid = np.full((int((count + 1).sum()) + 1) * STRIDE, 32, x.dtype)
-    laid[place] = x
-    windows = np.lib.stride_tricks.sliding_window_view(laid, WINDOW)[::STRIDE]
-    sums = np.zeros((len(laid) // STRIDE, STRIDE, TAGS), np.float32)
-    weight = np.zeros((len(laid) // STRIDE, STRIDE), np.float32)
-    lap = WINDOW - STRIDE
-    for k in range(0, len(rows), _ROWS):
-        own = rows[k : k + _ROWS]
-        e = tagger.emissions(windows[own])
-        e *= _BLEND[:, None]
-        sums[own] += e[:, :STRIDE]
-        sums[own + 1, :lap] += e[:, STRIDE:]
-        weight[own] += _BLEND[:STRIDE]
-        weight[own + 1, :lap] += _BLEND[STRIDE:]
-    return sums.reshape(-1, TAGS)[place] / weight.ravel()[place, None]
-
-
-def doubtful(e: np.ndarray, ends: np.ndarray, tagger: Tagger) -> list[tuple[int, int, int]]:
+
+    def __init__(self, x: np.ndarray, ends: np.ndarray):
+        size = np.diff(ends)
+        count = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
+        row = np.cumsum(count + 1) - (count + 1)
+        self.rows = int((count + 1).sum()) + 1
+        #: whether a window begins with each row, and where each character is laid
+        self.real = np.bincount(row + count, minlength=self.rows) == 0
+        self.real[-1] = False
+        self.place = np.arange(len(x)) + np.repeat(STRIDE * row - ends[:-1], size)
+        laid = np.full((self.rows + 1) * STRIDE, 32, x.dtype)
+        laid[self.place] = x
+        self.windows = np.lib.stride_tricks.sliding_window_view(laid, WINDOW)[::STRIDE]
+
+    def blend(self, wanted: np.ndarray, score, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Blended ``score``s of the rows ``wanted``, and each row's number among them (or -1); all windows over these rows are scored."""
+        number = np.full(self.rows + 1, -1)
+        number[wanted] = np.arange(len(wanted))
+        begin = np.zeros(self.rows, bool)
+        begin[wanted] = True
+        begin[np.maximum(wanted - 1, 0)] = True
+        own = np.flatnonzero(begin & self.real)
+        lap, w = WINDOW - STRIDE, _BLEND.reshape(-1, *(1 for _ in shape))
+        sums, weight = np.zeros((len(wanted), STRIDE, *shape), np.float32), np.zeros((len(wanted), STRIDE, *(1 for _ in shape)), np.float32)
+        for k in range(0, len(own), _ROWS):
+            at = own[k : k + _ROWS]
+            e = score(self.windows[at])
+            e *= w
+            for to, part, upto in ((number[at], slice(0, STRIDE), STRIDE), (number[at + 1], slice(STRIDE, None), lap)):
+                some = to >= 0
+                sums[to[some], :upto] += e[some, part]
+                weight[to[some], :upto] += w[part]
+        sums /= np.maximum(weight, 1e-9)
+        return sums, number
+
+
+def doubtful(gain: np.ndarray, ends: np.ndarray, tagger: Tagger) -> list[tuple[int, int, int]]:
     """(text, first, end) of the stretches outside which no best path has a span.
 
     An excursion of a path from "no span" gains at most the sum of its
-    characters' gains, less what it ``need``s (``bounds``).  Of a paying
+    characters' ``gain`` (of the best tag over none, or more), less what it
+    ``need``s (``bounds``).  Of a paying
     excursion cut in two, one part sums to over half of that; a character with
     no such run before or after it is in no paying excursion.
     """
     step, need = tagger.bounds()
-    gain = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + step
+    gain = gain.astype(np.float64) + step
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     # sums run on over the texts; each is lowered by more than any gain, so that no least sum reaches over an end
     fall = (np.abs(gain).sum() + 1) * owner
@@ -418,10 +442,17 @@ def _tagged(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]
     if not ends[-1]:
         return found
     x = symbols("".join(texts))
-    e = blended(x, ends, tagger)
+    laid = Layout(x, ends)
+    # every window is scored; the blended gain of the best tags bounds the gain of the best blended tag
+    gain = laid.blend(np.arange(laid.rows), tagger.gains, ())[0].reshape(-1)[laid.place]
     # every kind holds a digit or an @, so a stretch with neither has nothing that would be kept
     anchors = np.concatenate(([0], np.cumsum((x == 64) | ((x >= 48) & (x <= 57)))))
-    stretches = sorted((s for s in doubtful(e, ends, tagger) if anchors[s[2]] > anchors[s[1]]), key=lambda s: s[2] - s[1])
+    stretches = sorted((s for s in doubtful(gain, ends, tagger) if anchors[s[2]] > anchors[s[1]]), key=lambda s: s[2] - s[1])
+    # the scores of all tags, where they are looked at
+    mark = np.zeros(laid.rows, bool)
+    for _, a, b in stretches:
+        mark[laid.place[max(a - 1, 0)] // STRIDE : laid.place[min(b, len(x) - 1)] // STRIDE + 1] = True
+    scores, number = laid.blend(np.flatnonzero(mark), tagger.emissions, (TAGS,))
     k = 0
     while k < len(stretches):
         # stretches of like length go together, within a bound on the array; beside each stands a character without a span
@@ -432,7 +463,8 @@ def _tagged(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]
         lengths = np.array([b - a + left + right for _, a, b, left, right in group])
         padded = np.zeros((len(group), lengths.max(), TAGS), np.float32)
         for i, (_, a, b, left, right) in enumerate(group):
-            padded[i, : lengths[i]] = e[a - left : b + right]
+            at = laid.place[a - left : b + right]
+            padded[i, : lengths[i]] = scores[number[at // STRIDE], at % STRIDE]
             if left:
                 padded[i, 0, 1:] = -1e6
             if right:
