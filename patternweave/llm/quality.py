@@ -95,12 +95,12 @@ def contexts(texts: list[bytes | None], index: np.ndarray, into: np.ndarray) ->
     pairs = [(letter, shape), (shape, letter)]
     for a, b in ((letter, letter), (shape, shape), (letter, shape), (shape, letter)):
         pairs += [(a[near], b[near + 1]), (b[near + 1], a[near])]
-    # counts of pairs meet in one matrix product: entries that stand beside each other many times are added once
+    # an index vector has few places, so sums are counts by entry and place
+    places = np.nonzero(index)[1].reshape(len(index), -1)
+    signs = np.take_along_axis(index, places, 1).astype(np.float64)
+    flat = into.reshape(-1)
     for a, b in pairs:
-        key, n = np.unique(a * ENTRIES + b, return_counts=True)
-        a, b = key // ENTRIES, key % ENTRIES
-        edge = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1))
-        into[a[edge]] += np.add.reduceat(index[b] * n[:, None].astype(np.float32), edge, axis=0)
+        flat += np.bincount((a[:, None] * DIMENSIONS + places[b]).ravel(), signs[b].ravel(), len(flat))
 
 
 def word_vectors(index: np.ndarray, context: np.ndarray) -> np.ndarray:
