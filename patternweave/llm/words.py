@@ -6,6 +6,8 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes whose hashes are taken at once (a longer word is taken whole).
+PART = 1 << 21
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -75,11 +77,19 @@ class Words:
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        powers, inverses = _powers_to(len(self.raw) + 1)
-        total = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * powers[: len(self.raw)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverses[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word's bytes; taken over ``PART`` bytes at a time, so a very long text needs no more memory."""
+        out = np.empty(len(self.start), np.uint64)
+        k = 0
+        while k < len(out):
+            j = max(k + 1, int(np.searchsorted(self.end, self.start[k] + PART, side="right")))
+            base = self.start[k]
+            raw, start, end = self.raw[base : self.end[j - 1]], self.start[k:j] - base, self.end[k:j] - base
+            powers, inverses = _powers_to(len(raw) + 1)
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=total[1:])
+            out[k:j] = mix((total[end] - total[start]) * inverses[start] + (end - start).astype(np.uint64))
+            k = j
+        return out
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -402,3 +402,37 @@ def test_crf_gradient():
             loss.append(tagger.step(x, y)[0])
         tagger.p[name] = keep
         assert abs((loss[0] - loss[1]) / 2e-2 - grads[name][at]) < 2e-2, name
+
+
+def test_hashes_do_not_depend_on_parts(monkeypatch):
+    from patternweave.llm import words
+
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abcé1") for _ in range(r.randrange(1, 30))) for _ in range(r.randrange(0, 80))).encode() for _ in range(20)] + [None, b"", b"x" * 500]
+    whole = words.Words(texts, words.not_blank()).hashes()
+    monkeypatch.setattr(words, "PART", 37)
+    assert (words.Words(texts, words.not_blank()).hashes() == whole).all()
+    assert len(set(whole.tolist())) == len({w for t in texts for w in (t or b"").split()})
+
+
+def test_null_ids_keep_their_rows(spark):
+    docs = spark.createDataFrame([(None, "under the mit license, call +1 (238) 555-6608", "en"), (0, "this is plain english text", "en"), (0, None, None), (5, "esto es texto en español", "es")], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect() if r.base}
+    assert set(found) == {None} and found[None].base[0]["label"] == "mit"
+    assert sorted((str(r.doc_id), len(r.base)) for r in pii.find_pii(docs).collect()) == [("0", 0), ("0", 0), ("5", 0), ("None", 1)]
+    rows = langid.predict(docs, langid.learn(docs.where("lang is not null"))).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["0", "0", "5", "None"] and [r.lang_pred for r in rows if r.doc_id == 0].count("und") == 1
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert license_scan.scan_licenses(docs).count() == pii.find_pii(docs).count() == 0
+    assert langid.predict(docs, langid.learn(docs)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "under the mit license " + "palabras largas sin fin " * 150_000
+    docs = spark.createDataFrame([(1, long, "es"), (2, "short words of english", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(docs).collect()} == {1: 4 + 600_000, 2: 4}
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.learn(docs)).collect()} == {1: "es", 2: "en"}
+    assert len(pii.find_pii(docs).collect()) == 2
