@@ -59,9 +59,10 @@ def test_links_on_the_table(spark, sf_dir):
     assert sorted(got) == sorted(brute([r.vec_id for r in rows], [r.embedding for r in rows]))
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_links_of_odd_rows(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, dense", [(4096, 16), (16, 2)])
+def test_links_of_odd_rows(spark, monkeypatch, block, dense):
     monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(op, "DENSE", dense)
     monkeypatch.setattr(op, "BUCKET", 24)
     x = clusters(120, 16, block).tolist()
     nan, inf = float("nan"), float("inf")
@@ -91,6 +92,24 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(error) <= op.DEVIATIONS * spread).all()
 
 
+@pytest.mark.parametrize("d", [64, 768])
+def test_bounds_keep_links_and_little_else(d):
+    r = np.random.default_rng(d)
+    topic = np.repeat(r.standard_normal((4, d)), 100, axis=0)
+    x = np.concatenate((topic + math.sqrt(1 / 0.85 - 1) * r.standard_normal((400, d)), topic[:40] + r.choice([0.05, 0.2, 0.25], (40, 1)) * r.standard_normal((40, d))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    signs, factors = op.encode(x)
+    scale = np.abs(x).max(1) / 127
+    query = np.rint(x / scale[:, None]).astype(np.int8) * scale[:, None]
+    every = np.arange(len(x))
+    p, q = op._near(signs, factors, query, scale, every, every, op.THRESHOLD)
+    got = {(a, b) for a, b in zip(p.tolist(), q.tolist(), strict=True) if a < b}
+    cosine = x @ x.T
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(cosine >= op.THRESHOLD), strict=True) if a < b}
+    assert true and true <= got
+    assert all(cosine[a, b] >= op.THRESHOLD - 0.06 for a, b in got)
+
+
 def test_tables_meet_near_pairs():
     for n in (100, 10_000, 3_000_000, 10**9):
         bits, tables = op.table_plan(n)
