@@ -36,7 +36,7 @@ def blocked(df: DataFrame, key: str, ident: str, tag: str, least: int | None = N
     """Add i and j: rows of a key with over ``least`` rows (``most`` if not given) are dealt to blocks, and each pair of
     blocks (i <= j) is a group; in others both are 0.  side: 0 if the row is of block i, else 1.  A block has a 16th of
     the rows, between ``least`` and ``most`` (BLOCK if not given)."""
-    most = min(most or BLOCK, BLOCK)
+    most = most or BLOCK
     least = min(least or most, most)
     size = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("rows") / 16)))
     big = runtime.materialize(df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > least).select(F.col(key), F.ceil(F.col("rows") / size).alias("blocks")), tag)

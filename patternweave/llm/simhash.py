@@ -10,11 +10,12 @@ so a shard stays small.
 
 Within a shard a vantage-point tree splits fingerprints by their Hamming
 distance to a vantage point and prunes branches through the triangle bounds.
-A shard of too many rows (a dense group of near copies) is split over tasks by
-the leaves of a tree built from a bounded sample: each fingerprint is at home
-in one leaf, and copies of it query all leaves whose boundary its ball
-overlaps.  All pairs found are exact; a task returns a spanning forest of its
-links, never the pairs.
+A shard of over ``HOT_ROWS`` rows (a dense group of near copies) is split over
+tasks by the leaves of a tree built from a bounded sample: each fingerprint is
+at home in one leaf, and copies of it query all leaves whose boundary its ball
+overlaps.  A leaf that still has more is dealt in pairs of blocks, so the rows
+of a search have a bound whatever the table's size.  All pairs found are exact;
+a task returns a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .components import connected, spanning
+from .groups import blocked
 from .words import Words, mix, not_blank
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints that the tree of hot shards is built from, its leaves' depth, homes of a leaf searched whole.
-SAMPLE, DEPTH, LEAF = 1 << 14, 6, 512
+#: Fingerprints that the tree of hot shards is built from, its leaves' depth at most, homes of a leaf searched whole.
+SAMPLE, DEPTH, LEAF = 1 << 14, 12, 512
 #: Rows of a shard before it is split over tasks; mean rows of a shard that B is chosen for.
-HOT_ROWS, SHARD_ROWS = 4096, 64
+HOT_ROWS, SHARD_ROWS = 1 << 16, 64
 
 _TABLE = not_blank()
 #: For each byte, its bits in eight lanes of one byte.
@@ -196,7 +198,7 @@ def _signed(x: int) -> int:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, leaf, home, fp), sorted by shard and leaf: a spanning forest of their links."""
+    """Rows (shard, i, j, home, fp), sorted by the first three: a spanning forest of their links."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     us, vs, held = [], [], 0
     left: list[np.ndarray] | None = None
@@ -216,7 +218,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     us, vs, held = [u], [v], 0
 
     for batch in batches:
-        now = [np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy())), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy().view(np.uint64)]
+        now = [np.stack([batch.column(c).to_numpy() for c in range(3)]), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy().view(np.uint64)]
         if left is not None:
             now = [np.concatenate((a, b), axis=-1) for a, b in zip(left, now, strict=True)]
         if not len(now[2]):
@@ -240,13 +242,15 @@ def link(prints: DataFrame) -> DataFrame:
     tasks = runtime.partitions(spark)
     tables = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(bands(total)))]
     keyed = prints.select("fp", F.explode(F.array(*tables)).alias("shard"))
-    limit = max(HOT_ROWS, 2 * total * len(tables) // tasks)
-    hot = runtime.materialize(keyed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > limit).select("shard"), "hot-shards")
-    rows = keyed.select("shard", F.lit(0).cast("long").alias("leaf"), F.lit(True).alias("home"), "fp")
-    if hot.count():
-        there = runtime.materialize(keyed.join(hot, "shard"), "hot-rows")
+    hot = runtime.materialize(keyed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS), "hot-shards")
+    columns = ["shard", "i", "j", "home", "fp"]
+    whole = F.lit(0).cast("long")
+    rows = keyed.select("shard", whole.alias("i"), whole.alias("j"), F.lit(True).alias("home"), "fp")
+    if most := hot.agg(F.max("rows")).first()[0]:
+        there = runtime.materialize(keyed.join(hot.select("shard"), "shard"), "hot-rows")
         sample = there.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
-        tree, _ = build_tree(np.array([r.fp for r in sample], np.int64).view(np.uint64))
+        depth = min(DEPTH, (4 * most // HOT_ROWS).bit_length())
+        tree, _ = build_tree(np.array([r.fp for r in sample], np.int64).view(np.uint64), depth)
 
         def dealt(batches):
             for batch in batches:
@@ -255,8 +259,9 @@ def link(prints: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(leaf.astype(np.int64)), pa.array(home), batch.column(1).take(pa.array(at))], names=["shard", "leaf", "home", "fp"])
 
         routed = there.select("shard", "fp").mapInArrow(dealt, "shard long, leaf long, home boolean, fp long")
-        rows = rows.join(hot, "shard", "left_anti").union(routed)
-    return rows.repartition(tasks, "shard", "leaf").sortWithinPartitions("shard", "leaf").mapInArrow(_links, "a long, b long")
+        routed = runtime.materialize(routed.select(F.xxhash64("shard", "leaf").alias("shard"), "home", "fp"), "hot-leaves")
+        rows = rows.join(hot.select("shard"), "shard", "left_anti").select(*columns).union(blocked(routed, "shard", "fp", "large-leaves", most=HOT_ROWS).select(*columns))
+    return rows.repartition(tasks, "shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,6 +62,7 @@ def test_links_on_the_table(spark, sf_dir):
 @pytest.mark.parametrize("block, dense", [(4096, 16), (16, 2)])
 def test_links_of_odd_rows(spark, monkeypatch, block, dense):
     monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(op, "BUCKET_BLOCK", block)
     monkeypatch.setattr(op, "DENSE", dense)
     monkeypatch.setattr(op, "BUCKET", 24)
     x = clusters(120, 16, block).tolist()
