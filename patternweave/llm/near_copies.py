@@ -1,21 +1,30 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash codes of word shingles, vantage-point trees and exact Jaccard similarity.
 
 Sets of hashed shingles whose similarity is at least ``SIMILAR`` are linked.
-At that similarity some ten of 64 SimHash bits differ, too wide a ball for bands
-of bits and for a tree that has to prune; the shards in which codes meet are
-therefore those of min-wise keys: ``TABLES`` keys of ``ROWS`` least hashes each,
-and two sets at ``SIMILAR`` share none with probability (1 - 0.8^4)^27 < 1e-6,
-closer ones less.  Within a shard SimHash codes of ``LANES`` x 64 bits say which
-pairs may be similar, and exact sets decide on these.
-
-No group is squared: equal sets are one node; the sets of a shard are first
-compared with its least one alone, then each with the one nearest by its code
-among those that are not of its component yet; only what is still apart, but
-within ``REACH`` by the codes, is then compared pair by pair.
+Each set gets a SimHash code of ``LANES`` x 64 bits; of two sets at ``SIMILAR``
+a share of at most ``SHARE`` of the bits differ.  At that share no bands of all
+bits agree for certain, so the shards are tables of bits chosen at random: as
+many that two sets at ``SIMILAR`` share no shard with probability ``MISS``,
+closer ones less.  The bits of a table grow with the number of sets, so that a
+shard holds ``SHARD_ROWS`` in the mean; up to that number all are one shard.
+
+Within a shard a vantage-point tree splits the sets by their distance to a
+vantage point and prunes through the triangle bounds.  Vantage points are the
+empty set, whose distance to a set is the set's size (similar sets differ in
+size by a fourth at most), and codes by Hamming distance.  A split is taken
+where it spares comparisons.  What the codes propose, exact sets decide.
+
+No group is squared: equal sets are one node; each set is first compared
+exactly with its least neighbour and its nearest one by the codes, then with
+those of other components, and only what is still apart, but within ``REACH``
+by the codes, is then compared pair by pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, log, log2
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,20 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import runtime
+from . import groups, runtime
 from .components import connected
 from .groups import blocked, grouped
 from .simhash import wide_codes
-from .words import Words, grams, mix, not_blank
+from .words import Words, grams, not_blank
 
 SHINGLE, SIMILAR = 5, 0.8
-TABLES, ROWS = 27, 4
 #: 64-bit lanes of a code; the share of bits in which sets at ``SIMILAR`` differ at most (their angle by pi, rounded up; sets of up to five
 #: shingles differ in more), and the deviations allowed beyond it (a pair at ``SIMILAR`` is beyond with probability 1e-6).
 LANES, SHARE, SMALL_SHARE, SMALL, DEVIATIONS = 32, 0.16, 0.19, 5, 4.75
 
 _TABLE = not_blank()
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, TABLES * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Lanes that all sets take to their shards; only sets with a neighbour by these take whole codes.
+NARROW = 4
+#: Mean rows of a shard at most, the probability that a pair at ``SIMILAR`` shares none.
+SHARD_ROWS, MISS = 4096, 1e-6
+#: Rows of a tree's leaf; the share of comparisons that a split has to spare.
+LEAF, SPARED = 256, 0.05
+#: Places of a code's bits as the tables take them: each once, then all again in other orders.
+_PLACES = np.concatenate([np.random.default_rng(k).permutation(64 * LANES) for k in range(8)])
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -58,18 +73,22 @@ def node(one: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).view(np.int64))
 
 
-def table_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``TABLES`` keys for each set; none of the sets is empty."""
-    out = np.zeros((len(sets), TABLES), np.uint64)
-    if not sets:
-        return out
-    every = np.concatenate(sets)
-    at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    for t in range(TABLES):
-        key = np.full(len(sets), t, np.uint64)
-        for f in _FACTORS[t * ROWS : (t + 1) * ROWS]:
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(every * f, at))
-        out[:, t] = key
+def tables(n: int) -> tuple[int, int, int]:
+    """Bits of a table for ``n`` sets, the number of tables, and that for sets of at most ``SMALL`` + 1 shingles."""
+    bits = max(0, ceil(log2(max(n, 1) / SHARD_ROWS)))
+    if not bits:
+        return 0, 1, 1
+    return bits, *(ceil(log(MISS) / log(1 - (1 - share) ** bits)) for share in (SHARE, SMALL_SHARE))
+
+
+def table_keys(codes: np.ndarray, bits: int, number: int) -> np.ndarray:
+    """A row of ``number`` shards for each code, one of each table."""
+    each = np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
+    out = np.zeros((len(codes), number), np.int64)
+    for t in range(number):
+        for place in np.take(_PLACES, range(t * bits, (t + 1) * bits), mode="wrap"):
+            out[:, t] = out[:, t] << 1 | each[:, place]
+        out[:, t] += t << bits
     return out
 
 
@@ -86,17 +105,17 @@ def _texts(part: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    """doc_id, the node of its set, the set's keys (null without words)."""
+    """doc_id, the node of its set, the set's size and code (null without words)."""
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(_texts(part, 1))
-            keys = iter(table_keys([s for s in sets if len(s)]).view(np.int64).tolist())
-            return pa.record_batch([part.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            codes = iter(wide_codes([s for s in sets if len(s)], LANES).astype("<u8"))
+            return pa.record_batch([part.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([next(codes).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "node", "size", "code"])
 
         return run
 
-    return runtime.materialize(runtime.map_slices(rows, "text", runtime.added(rows.select("doc_id").schema, "node long, keys array<long>"), make), "shingle-keys")
+    return runtime.materialize(runtime.map_slices(rows, "text", runtime.added(rows.select("doc_id").schema, "node long, size long, code binary"), make), "shingle-codes")
 
 
 def _sets(nodes: DataFrame, rows: DataFrame, firsts: DataFrame, column: str, kind: str, values, arrow: pa.DataType) -> DataFrame:
@@ -123,45 +142,128 @@ def _similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return runtime.materialize(both.where(shared >= F.lit(SIMILAR) * (total - shared)).select("a", "b"), "similar-pairs")
 
 
-def _near_by_code(nearest: bool):
-    """Of groups (key, i, j): pairs of different roots within reach by their codes, each in the first table that it shares; with ``nearest`` only each row's nearest."""
+def _dealt(lanes: int, bits: int, number: int, small: int):
+    """Rows (node, root, size, code) in each of their shards, with ``lanes`` lanes of their codes."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                codes = part.column(3).to_pylist()
+                keys = table_keys(np.frombuffer(b"".join(codes), "<u8").reshape(-1, LANES), bits, small)
+                few = part.column(2).to_numpy() <= SMALL + 1
+                row, table = np.nonzero(few[:, None] | (np.arange(small) < number)[None, :])
+                cut = pa.array([x[: 8 * lanes] for x in codes], pa.binary())
+                yield pa.record_batch([pa.array(keys[row, table]), *(part.column(c).take(pa.array(row)) for c in range(3)), cut.take(pa.array(row))], names=["key", "node", "root", "size", "code"])
+
+    return run
+
+
+def _hamming(lanes: list[np.ndarray], point: int, rows: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(lane[rows] ^ lane[point]).astype(np.int64) for lane in lanes)
+
+
+def _split(lanes: list[np.ndarray], size: np.ndarray, homes: np.ndarray, queries: np.ndarray, far: int, same: bool):
+    """(distances of homes, of queries, radius, bound inside, bound outside) that spare most comparisons, or None."""
+
+    def cost(own, others):
+        return own * (others + own / 2) if same else own * others
+
+    best, least = None, (1 - SPARED) * cost(len(homes), len(queries))
+    points = np.unique(homes[np.linspace(0, len(homes) - 1, 3).astype(int)])
+    for point in (None, *points.tolist()):
+        d, q = (size[homes], size[queries]) if point is None else (_hamming(lanes, point, homes), _hamming(lanes, point, queries))
+        x, y = np.sort(d), np.sort(q)
+        for r in np.unique(x[np.linspace(0, len(x) - 1, 9).astype(int)[:-1]]).tolist():
+            above, below = (5 * r // 4, 4 * r // 5) if point is None else (r + far, r - far)
+            inside = int(np.searchsorted(x, r, "right"))
+            near = int(np.searchsorted(x, above, "right")) - inside if same else 0
+            both = cost(inside, near + int(np.searchsorted(y, above, "right"))) + cost(len(x) - inside, len(y) - int(np.searchsorted(y, below, "right")))
+            if both < least:
+                best, least = (d, q, r, above, below), both
+    return best
+
+
+def leaves(lanes: list[np.ndarray], size: np.ndarray, homes: np.ndarray, queries: np.ndarray, far: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(homes, rows to compare them with) of a vantage-point tree's leaves, in which each pair of homes (with ``same``) and each of
+    a home and a query meets whose codes differ in at most ``far`` bits and whose sizes allow ``SIMILAR``."""
+    if len(homes) > LEAF and (found := _split(lanes, size, homes, queries, far, same)) is not None:
+        d, q, radius, above, below = found
+        near = homes[(d > radius) & (d <= above)] if same else homes[:0]
+        yield from leaves(lanes, size, homes[d <= radius], np.concatenate((queries[q <= above], near)), far, same)
+        yield from leaves(lanes, size, homes[d > radius], queries[q > below], far, same)
+        return
+    for a in range(0, len(homes), LEAF):
+        yield homes[a : a + LEAF], np.concatenate((homes[a:], queries)) if same else queries
+
+
+def near(code: np.ndarray, size: np.ndarray, root: np.ndarray, homes: np.ndarray, queries: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distance of the pairs of different roots that are within reach by their codes."""
+    lanes = [np.ascontiguousarray(code[:, k]) for k in range(code.shape[1])]
+    few = size <= SMALL
+    first, last = ((reach(SHARE, 64 * n), reach(SMALL_SHARE, 64 * n)) for n in (NARROW, len(lanes)))
+    for own, others in leaves(lanes, size, homes, queries, last[1] if few.any() else last[0], same):
+        for b in range(0, len(others), 2048):
+            rest = others[b : b + 2048]
+            apart = np.zeros((len(own), len(rest)), np.uint16)
+            for lane in lanes[:NARROW]:
+                apart += np.bitwise_count(lane[own][:, None] ^ lane[rest][None, :])
+            i, j = np.nonzero(apart <= (first[1] if few.any() else first[0]))
+            for c in range(0, len(i), 1 << 16):
+                p, q, d = own[i[c : c + (1 << 16)]], rest[j[c : c + (1 << 16)]], apart[i[c : c + (1 << 16)], j[c : c + (1 << 16)]].astype(np.int64)
+                some = (root[p] != root[q]) & (5 * size[p] >= 4 * size[q]) & (5 * size[q] >= 4 * size[p])
+                some &= d <= np.where(few[p] | few[q], first[1], first[0])
+                p, q, d = p[some], q[some], d[some]
+                for lane in lanes[NARROW:]:
+                    d += np.bitwise_count(lane[p] ^ lane[q])
+                some = d <= np.where(few[p] | few[q], last[1], last[0])
+                if some.any():
+                    yield p[some], q[some], d[some]
+
+
+def _sides(t: pa.Table, lanes: int):
+    """Arrays of a group (key, i, j): code, size, root and node of each row, homes and queries of its tree, whether pairs of homes count."""
+    code = np.frombuffer(b"".join(t.column("code").to_pylist()), "<u8").reshape(t.num_rows, lanes)
+    size, root, ids, side = (t.column(c).to_numpy() for c in ("size", "root", "node", "side"))
+    same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    every = np.arange(t.num_rows)
+    return code, size, root, ids, every if same else np.flatnonzero(side == 0), every[:0] if same else np.flatnonzero(side == 1), same
+
+
+def _neighbours(lanes: int):
+    """Of groups (key, i, j): each row's nearest by the codes and that of the least root, among rows of other roots within reach."""
+
+    def run(batches):
+        for t in grouped(batches, 3):
+            code, size, root, ids, homes, queries, same = _sides(t, lanes)
+            order = np.lexsort((ids, root))
+            rank = np.argsort(order)
+            none = np.int64(1) << 62
+            nearest, least = np.full(len(ids), none), np.full(len(ids), none)
+            for p, q, d in near(code, size, root, homes, queries, same):
+                for x, y in ((p, q), (q, p)):
+                    np.minimum.at(nearest, x, d << 32 | rank[y])
+                    np.minimum.at(least, x, rank[y])
+            some = np.flatnonzero(nearest < none)
+            if len(some):
+                close, low = order[nearest[some] & 0xFFFFFFFF], order[least[some]]
+                yield pa.record_batch([pa.array(ids[some]), pa.array(nearest[some] >> 32), pa.array(ids[close]), pa.array(root[low]), pa.array(ids[low])], names=["node", "apart", "close", "root", "low"])
+
+    return run
+
+
+def _all_pairs(bits: int, small: int):
+    """Of groups (key, i, j): all pairs of different roots within reach by whole codes, each in the first table that it shares."""
 
     def run(batches):
         for t in grouped(batches, 3):
-            n = t.num_rows
-            code = np.frombuffer(b"".join(t.column("code").to_pylist()), "<u8").reshape(n, LANES)
-            keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<i8").reshape(n, TABLES)
-            ids, root, side, key = (t.column(c).to_numpy() for c in ("node", "root", "side", "key"))
-            within = np.where(t.column("few").to_numpy(), SMALL_REACH, REACH)
-            same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            left = np.arange(n) if same else np.flatnonzero(side == 0)
-            right = np.arange(n) if same else np.flatnonzero(side == 1)
-            table = int(np.argmax(keys[0] == key[0])) if n else 0
-            for a in range(0, len(left), 256):
-                rows = left[a : a + 256]
-                best, at = np.full(len(rows), 64 * LANES + 1), np.zeros(len(rows), np.int64)
-                for b in range(0, len(right), 2048):
-                    cols = right[b : b + 2048]
-                    apart = np.zeros((len(rows), len(cols)), np.uint16)
-                    for k in range(LANES):
-                        apart += np.bitwise_count(code[rows, k][:, None] ^ code[cols, k][None, :])
-                    hit = (apart <= np.maximum(within[rows][:, None], within[cols][None, :])) & (root[rows][:, None] != root[cols][None, :])
-                    if nearest:
-                        own = np.where(hit, apart, 64 * LANES + 1)
-                        k = own.argmin(1)
-                        own = own[np.arange(len(rows)), k]
-                        at, best = np.where(own < best, cols[k], at), np.minimum(own, best)
-                        continue
-                    p, q = np.nonzero(hit)
-                    p, q = rows[p], cols[q]
-                    some = (p < q) if same else np.ones(len(p), bool)
-                    p, q = p[some], q[some]
-                    some = (keys[p] == keys[q]).argmax(1) == table
-                    if some.any():
-                        p, q = ids[p[some]], ids[q[some]]
-                        yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-                if nearest and (some := best <= 64 * LANES).any():
-                    p, q = ids[rows[some]], ids[at[some]]
+            code, size, root, ids, homes, queries, same = _sides(t, LANES)
+            keys = table_keys(code, bits, small)
+            table = t.column("key")[0].as_py() >> bits
+            for p, q, _ in near(code, size, root, homes, queries, same):
+                some = (keys[p] == keys[q]).argmax(1) == table
+                if some.any():
+                    p, q = ids[p[some]], ids[q[some]]
                     yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return run
@@ -176,41 +278,34 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     prints = _prints(rows)
-    firsts = runtime.materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "first-of-set")
-    keyed = firsts.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    buckets = runtime.materialize(keyed.join(runtime.materialize(least, "shared-keys"), "key"), "buckets")
-    tried = runtime.materialize(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    links = _similar(tried, rows, firsts)
+    firsts = runtime.materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("code").alias("code")), "first-of-set")
+    sets = firsts.where("size > 0").select("node", F.col("node").alias("root"), "size", "code")
+    bits, number, small = tables(sets.count())
     order = ["key", "i", "j"]
-    codes = None
-    for nearest in (True, False):
-        rooted = buckets.join(connected(links).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-        rest = runtime.materialize(rooted.join(mixed, "key", "left_semi"), "mixed-buckets")
-        if codes is None:
-            kind = "struct<code:binary,few:boolean>"
-            arrow = pa.struct([("code", pa.binary()), ("few", pa.bool_())])
-            codes = _sets(rest.select("node").distinct(), rows, firsts, "made", kind, lambda sets: [{"code": c.astype("<u8").tobytes(), "few": len(s) <= SMALL} for c, s in zip(wide_codes(sets, LANES), sets, strict=True)], arrow)
-            packed = firsts.select("node", "keys").mapInArrow(_packed_keys, "node long, keys binary")
-            codes = runtime.materialize(codes.select("node", "made.code", "made.few").join(packed, "node"), "node-codes")
-        met = blocked(rest.join(codes, "node"), "key", "node", "hot-buckets").select(*order, "side", "node", "root", "few", "code", "keys")
-        pairs = met.repartition(runtime.partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_near_by_code(nearest), "a long, b long").distinct()
+
+    def met(some: DataFrame, lanes: int, search, kind: str) -> DataFrame:
+        dealt = some.mapInArrow(_dealt(lanes, bits, number, small), "key long, node long, root long, size long, code binary")
+        shards = blocked(dealt, "key", "node", "hot-shards", most=2 * groups.BLOCK).select(*order, "side", "node", "root", "size", "code")
+        return shards.repartition(runtime.partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(search, kind)
+
+    links = tried = spark.createDataFrame([], "a long, b long")
+    for lanes in (NARROW, LANES):
+        found = met(sets, lanes, _neighbours(lanes), "node long, apart long, close long, root long, low long")
+        found = runtime.materialize(found.groupBy("node").agg(F.min(F.struct("apart", "close")).alias("x"), F.min(F.struct("root", "low")).alias("y")), "neighbours")
+        pairs = found.select("node", F.explode(F.array("x.close", "y.low")).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = runtime.materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links, tried = links.union(_similar(pairs, rows, firsts)), tried.union(pairs)
+        # a set without a neighbour of another root has none in the next round
+        rooted = sets.drop("root").join(found.select("node"), "node", "left_semi").join(connected(links).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
+        sets = runtime.materialize(rooted.select("node", F.coalesce("root", "node").alias("root"), "size", "code"), "sets-apart")
+    pairs = met(sets, LANES, _all_pairs(bits, small), "a long, b long").distinct()
+    links = links.union(_similar(runtime.materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs"), rows, firsts))
     hooked = connected(links).withColumnsRenamed({"u": "node", "v": "root"})
     part = runtime.materialize(firsts.join(hooked, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "set-roots")
     named = part.join(part.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     return prints.join(runtime.materialize(named, "set-components"), "node").select("doc_id", "component_id")
 
 
-def _packed_keys(batches):
-    for batch in batches:
-        some = batch.filter(batch.column(1).is_valid())
-        data = some.column(1).flatten().to_numpy().astype("<i8").reshape(-1, TABLES)
-        yield pa.record_batch([some.column(0), pa.array([x.tobytes() for x in data], pa.binary())], names=["node", "keys"])
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the rows of its least id stay; rows of null id stay."""
     gone = near_copies(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()

@@ -93,3 +93,57 @@ def test_codes_keep_pairs_at_the_limit():
             limit = near_copies.SMALL_REACH if min(cut, n - cut + shared) <= near_copies.SMALL else near_copies.REACH
             worst = max(worst, apart / limit)
     assert worst <= 1
+
+
+def coded(r, n):
+    """Random sets of 20 to 400 hashes and copies of them around the limit: codes and sizes."""
+    sets = [r.integers(0, 1 << 63, int(r.integers(20, 400))).astype(np.uint64) for _ in range(n)]
+    sets += [np.concatenate((s[: int(len(s) * r.uniform(0.8, 1))], r.integers(0, 1 << 63, int(r.integers(0, 20))).astype(np.uint64))) for s in sets for _ in range(3)]
+    return simhash.wide_codes(sets, near_copies.LANES), np.array([len(s) for s in sets])
+
+
+@pytest.mark.parametrize("lanes", [near_copies.NARROW, near_copies.LANES])
+@pytest.mark.parametrize("same", [True, False])
+def test_trees_find_all_pairs_within_reach_and_prune(lanes, same):
+    code, size = coded(np.random.default_rng(lanes), 300)
+    code, every = code[:, :lanes], np.arange(len(size))
+    side = every % 2
+    homes, queries = (every, every[:0]) if same else (every[side == 0], every[side == 1])
+    got = {(min(p, q), max(p, q)) for x in near_copies.near(code, size, every, homes, queries, same) for p, q in zip(x[0].tolist(), x[1].tolist(), strict=True)}
+    apart = sum(np.bitwise_count(code[:, k][:, None] ^ code[:, k][None, :]).astype(int) for k in range(lanes))
+    narrow = sum(np.bitwise_count(code[:, k][:, None] ^ code[:, k][None, :]).astype(int) for k in range(near_copies.NARROW))
+    near = (apart <= near_copies.reach(near_copies.SHARE, 64 * lanes)) & (narrow <= near_copies.reach(near_copies.SHARE, 64 * near_copies.NARROW))
+    near &= (5 * size[:, None] >= 4 * size) & (5 * size >= 4 * size[:, None])
+    want = {(p, q) for p, q in zip(*np.nonzero(near), strict=True) if p < q and (same or side[p] != side[q])}
+    assert got == want and len(want) > 100
+    looked = sum(len(a) * len(b) for a, b in near_copies.leaves([code[:, k] for k in range(lanes)], size, homes, queries, near_copies.reach(near_copies.SHARE, 64 * lanes), same))
+    assert looked < 0.7 * (len(homes) * (len(homes) / 2 + len(queries)))
+
+
+def test_shards_are_bits_of_codes_and_keep_pairs_at_the_limit():
+    r = np.random.default_rng(9)
+    for n in (4, 9, 45, 900):
+        shared = -(-4 * n // 5)
+        sets = [r.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(200)]
+        cut = shared + (n - shared) // 2
+        codes = simhash.wide_codes([x for s in sets for x in (s[:cut], np.concatenate((s[:shared], s[cut:])))], near_copies.LANES)
+        for rows in (1000, 200_000, 12_000_000):
+            bits, number, small = near_copies.tables(rows)
+            keys = near_copies.table_keys(codes, bits, small if n <= near_copies.SMALL + 1 else number)
+            assert keys.max() >> bits == keys.shape[1] - 1 and rows >> bits <= near_copies.SHARD_ROWS
+            assert (keys[0::2] == keys[1::2]).any(1).all()
+            # whether two sets share a shard hangs on their codes alone
+            flipped = codes[:1] ^ np.uint64(0xFFFFFFFFFFFFFFFF)
+            assert not bits or not (near_copies.table_keys(flipped, bits, number) == keys[:1, :number]).any()
+
+
+def test_many_shards_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARD_ROWS", 8)
+    r = random.Random(11)
+    rows = []
+    for k in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([7, 60, 200]))]
+        rows += [(10 * k + n, " ".join(edited(words, n, r) if len(words) > 60 else words + [f"x{n}"] * (n % 3))) for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_copies.tables(len(rows))[0] == 5
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()} == least(rows)
