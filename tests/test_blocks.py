@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_graph import brute, clique, number, random_edges
 
-from patternweave import PATTERNS, Graph
+from patternweave import PATTERNS, Graph, queries
 from patternweave.operators import blocks, patterns
 from patternweave.plans import run
 from patternweave.queries import ON_GRAPH
@@ -71,3 +71,21 @@ def test_colours_split_heavy_ranges():
     seen = c(ids | (7 << 32))
     assert c.number == seen.max() + 1 and len(set(seen[64:80])) > 3 and len(set(seen[:16])) == 1
     assert (c(ids) == seen).all()
+
+
+def test_squares_of_many_blocks(spark, many):
+    edges = random_edges(4, n=9, p=0.6)
+    assert number(run.square_count(Graph.from_pairs(spark, edges))) == brute(edges, PATTERNS["square"])
+
+
+def test_squares_send_no_wedges(spark, dense):
+    g, edges = dense
+    out, sent = shuffled(spark, lambda: run.square_count(g))
+    assert out[0][0] > 100 * edges and sent < 4 * edges
+
+
+def test_squares_of_hubs(spark, hubs, monkeypatch):
+    """A pair of hubs with 1,500 common neighbours, whose wedges don't fit one step."""
+    g, _ = hubs
+    monkeypatch.setattr(blocks, "WEDGES", 100)
+    assert number(run.square_count(g)) == 1500 * 1499 // 2 + 2 * 1498
