@@ -89,3 +89,13 @@ def test_squares_of_hubs(spark, hubs, monkeypatch):
     g, _ = hubs
     monkeypatch.setattr(blocks, "WEDGES", 100)
     assert number(run.square_count(g)) == 1500 * 1499 // 2 + 2 * 1498
+
+
+def test_houses_of_many_blocks(spark, many):
+    edges = random_edges(5, n=8, p=0.6)
+    assert number(run.house_count(Graph.from_pairs(spark, edges))) == brute(edges, PATTERNS["house"])
+
+
+def test_houses_send_no_wedges(spark, dense):
+    g, edges = dense
+    assert shuffled(spark, lambda: run.house_count(g))[1] < 12 * edges
