@@ -99,3 +99,15 @@ def test_houses_of_many_blocks(spark, many):
 def test_houses_send_no_wedges(spark, dense):
     g, edges = dense
     assert shuffled(spark, lambda: run.house_count(g))[1] < 12 * edges
+
+
+def test_apex_counts_of_many_blocks(spark, many):
+    edges = random_edges(6, n=9, p=0.6)
+    g = Graph.from_pairs(spark, edges)
+    assert sum(r.n for r in patterns.apex_counts(g).collect()) == 3 * brute(edges, clique(3))
+    assert number(run.chordal_square_count(g)) == brute(edges, PATTERNS["chordalsquare"])
+
+
+def test_chordal_squares_send_no_wedges(spark, dense):
+    g, edges = dense
+    assert shuffled(spark, lambda: run.chordal_square_count(g))[1] < 6 * edges
