@@ -111,3 +111,8 @@ def test_apex_counts_of_many_blocks(spark, many):
 def test_chordal_squares_send_no_wedges(spark, dense):
     g, edges = dense
     assert shuffled(spark, lambda: run.chordal_square_count(g))[1] < 6 * edges
+
+
+def test_bow_ties_send_no_wedges(spark, dense):
+    g, edges = dense
+    assert shuffled(spark, lambda: run.twin_triangle_count(g))[1] < 10 * edges
