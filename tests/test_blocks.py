@@ -116,3 +116,12 @@ def test_chordal_squares_send_no_wedges(spark, dense):
 def test_bow_ties_send_no_wedges(spark, dense):
     g, edges = dense
     assert shuffled(spark, lambda: run.twin_triangle_count(g))[1] < 10 * edges
+
+
+def test_parts_follow_the_lines(spark, sf_dir, monkeypatch):
+    """Pairs of lines were held in as few parts as their compressed size asked for."""
+    monkeypatch.setattr(queries, "LINES", 500)
+    assert queries.parts_of(spark, sf_dir) == 12
+    g = Graph(queries.raw_pairs(spark, sf_dir, None), parts=12)
+    assert g.edges.rdd.getNumPartitions() == 12
+    assert ON_GRAPH["degree_power_sums"](g).count() == 5
