@@ -125,3 +125,9 @@ def test_parts_follow_the_lines(spark, sf_dir, monkeypatch):
     g = Graph(queries.raw_pairs(spark, sf_dir, None), parts=12)
     assert g.edges.rdd.getNumPartitions() == 12
     assert ON_GRAPH["degree_power_sums"](g).count() == 5
+
+
+def test_degrees_of_many_parts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries, "LINES", 500)
+    raw = queries.raw_pairs(spark, sf_dir, None)
+    assert sorted(Graph(raw, parts=12).degrees.collect()) == sorted(Graph(raw).degrees.collect())
