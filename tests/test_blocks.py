@@ -131,3 +131,12 @@ def test_degrees_of_many_parts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "LINES", 500)
     raw = queries.raw_pairs(spark, sf_dir, None)
     assert sorted(Graph(raw, parts=12).degrees.collect()) == sorted(Graph(raw).degrees.collect())
+
+
+def test_oriented_edges_of_many_parts(spark, sf_dir, monkeypatch):
+    """Both joins with degrees are dealt in as many parts as the edges."""
+    monkeypatch.setattr(queries, "LINES", 500)
+    raw = queries.raw_pairs(spark, sf_dir, None)
+    g = Graph(raw, parts=12)
+    assert g.oriented.rdd.getNumPartitions() == 12
+    assert sorted(g.oriented.collect()) == sorted(Graph(raw).oriented.collect())
