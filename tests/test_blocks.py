@@ -1,12 +1,15 @@
 """Operators in blocks against brute force, and that no query sends a row for each wedge."""
 
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_graph import brute, clique, number, random_edges
 
 from patternweave import PATTERNS, Graph, queries
-from patternweave.operators import blocks, patterns
-from patternweave.plans import run
+from patternweave.operators import blocks, cliques, patterns
+from patternweave.plans import run, star
 from patternweave.queries import ON_GRAPH
 
 
@@ -52,6 +55,24 @@ def dense(spark):
     g.release()
 
 
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Two hubs over a ring that is joined to its next but one: over a hundred wedges an edge."""
+    edges = [(h, v) for h in (0, 1) for v in range(2, 402)] + [(v, v + k) for k in (1, 2) for v in range(2, 400)]
+    g = Graph.from_pairs(spark, edges, keep=True)
+    g.oriented.count()
+    yield g, len(edges)
+    g.release()
+
+
+@pytest.fixture(scope="module")
+def small_graph(spark):
+    edges = random_edges(9, n=11, p=0.5)
+    g = Graph.from_pairs(spark, edges, keep=True)
+    yield g, edges
+    g.release()
+
+
 def test_triangles_of_many_blocks(spark, many):
     edges = random_edges(3, n=9, p=0.6)
     g = Graph.from_pairs(spark, edges)
@@ -140,3 +161,12 @@ def test_oriented_edges_of_many_parts(spark, sf_dir, monkeypatch):
     g = Graph(raw, parts=12)
     assert g.oriented.rdd.getNumPartitions() == 12
     assert sorted(g.oriented.collect()) == sorted(Graph(raw).oriented.collect())
+
+
+@pytest.mark.parametrize("k", [4, 5, 6])
+def test_cliques_send_triangles_once(spark, dense, k):
+    g, edges = dense
+    want = sum(1 for _ in star.cliques(g, k).collect())
+    g.triangles.count()
+    out, sent = shuffled(spark, lambda: ON_GRAPH[f"clique{k}_count"](g))
+    assert out[0][0] == want > g.triangles.count() and sent < 1.1 * g.triangles.count()
