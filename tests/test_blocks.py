@@ -170,3 +170,13 @@ def test_cliques_send_triangles_once(spark, dense, k):
     g.triangles.count()
     out, sent = shuffled(spark, lambda: ON_GRAPH[f"clique{k}_count"](g))
     assert out[0][0] == want > g.triangles.count() and sent < 1.1 * g.triangles.count()
+
+
+def test_cliques_in_small_steps(spark, dense, monkeypatch):
+    """Runs of local graphs and pairs of cliques that don't fit one step."""
+    g, _ = dense
+    want = cliques.cliques(g, 5).collect()
+    monkeypatch.setattr(cliques, "PAIRS", 7)
+    v, a, b = (np.array(c) for c in zip(*sorted(tuple(r) for r in g.triangles.collect()), strict=True))
+    rows = [r for found in cliques.grown(v, a, b, 5) for r in zip(*(c.tolist() for c in found), strict=True)]
+    assert len(rows) == len(set(rows)) and sorted(rows) == sorted(tuple(r) for r in want)
