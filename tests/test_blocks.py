@@ -180,3 +180,12 @@ def test_cliques_in_small_steps(spark, dense, monkeypatch):
     v, a, b = (np.array(c) for c in zip(*sorted(tuple(r) for r in g.triangles.collect()), strict=True))
     rows = [r for found in cliques.grown(v, a, b, 5) for r in zip(*(c.tolist() for c in found), strict=True)]
     assert len(rows) == len(set(rows)) and sorted(rows) == sorted(tuple(r) for r in want)
+
+
+@pytest.mark.parametrize("least", [1, 3, 100])
+def test_runs_cut_no_group(least):
+    v = np.repeat([1, 2, 5, 9], [4, 1, 7, 2])
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[i : i + 3]), pa.array(np.arange(i, min(i + 3, 14)))], names=["v", "i"]) for i in range(0, 14, 3)]
+    runs = list(cliques.whole_groups(iter(batches), least))
+    assert np.concatenate([r[1] for r in runs]).tolist() == list(range(14))
+    assert sum(len(set(r[0].tolist())) for r in runs) == 4
