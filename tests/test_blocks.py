@@ -189,3 +189,10 @@ def test_runs_cut_no_group(least):
     runs = list(cliques.whole_groups(iter(batches), least))
     assert np.concatenate([r[1] for r in runs]).tolist() == list(range(14))
     assert sum(len(set(r[0].tolist())) for r in runs) == 4
+
+
+def test_near_5_cliques_send_no_cliques(spark, dense):
+    g, edges = dense
+    want = patterns.near_5_cliques(g, cliques.cliques(g, 4)).count()
+    out, sent = shuffled(spark, lambda: run.near_5_clique_count(g))
+    assert out[0][0] == want and sent < 1.1 * g.triangles.count() + 20 * edges
