@@ -196,3 +196,10 @@ def test_near_5_cliques_send_no_cliques(spark, dense):
     want = patterns.near_5_cliques(g, cliques.cliques(g, 4)).count()
     out, sent = shuffled(spark, lambda: run.near_5_clique_count(g))
     assert out[0][0] == want and sent < 1.1 * g.triangles.count() + 20 * edges
+
+
+def test_wheels_send_no_chordal_squares(spark, dense):
+    g, _ = dense
+    want = patterns.solar_squares(g).count()
+    out, sent = shuffled(spark, lambda: run.solar_square_count(g))
+    assert out[0][0] == want and sent < 3.3 * g.triangles.count()
