@@ -203,3 +203,7 @@ def test_wheels_send_no_chordal_squares(spark, dense):
     want = patterns.solar_squares(g).count()
     out, sent = shuffled(spark, lambda: run.solar_square_count(g))
     assert out[0][0] == want and sent < 3.3 * g.triangles.count()
+
+
+def test_clique_collapse_of_many_at_a_time(small_graph):
+    assert not searched_in_groups(small_graph[0], "clique_collapse")
