@@ -207,3 +207,19 @@ def test_wheels_send_no_chordal_squares(spark, dense):
 
 def test_clique_collapse_of_many_at_a_time(small_graph):
     assert not searched_in_groups(small_graph[0], "clique_collapse")
+
+
+def searched_in_groups(g, name):
+    """Whether a query starts Python anew for each vertex."""
+    return "FlatMapGroupsInPandas" in ON_GRAPH[name](g)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_maximal_cliques_of_many_at_a_time(spark, small_graph):
+    g, edges = small_graph
+    near = {frozenset(e) for e in edges}
+    vs = sorted({v for e in edges for v in e})
+    whole = [set(c) for k in range(1, len(vs) + 1) for c in combinations(vs, k) if all(frozenset(p) in near for p in combinations(c, 2))]
+    for least in (2, 3):
+        want = sorted(sorted(c) for c in whole if len(c) >= least and not any(c < d for d in whole))
+        assert sorted(r.members for r in cliques.maximal_cliques(g, least).collect()) == want
+    assert not searched_in_groups(g, "maximal_cliques")
