@@ -223,3 +223,16 @@ def test_maximal_cliques_of_many_at_a_time(spark, small_graph):
         want = sorted(sorted(c) for c in whole if len(c) >= least and not any(c < d for d in whole))
         assert sorted(r.members for r in cliques.maximal_cliques(g, least).collect()) == want
     assert not searched_in_groups(g, "maximal_cliques")
+
+
+def test_disjoint_cliques_of_many_at_a_time(small_graph):
+    """Each is maximal, none shares a vertex, and every other one meets one that comes first."""
+    g, _ = small_graph
+    every = [r.members for r in cliques.maximal_cliques(g, 3).collect()]
+    kept, used = [], set()
+    for c in sorted(every, key=lambda c: (-len(c), c)):
+        if not used & set(c):
+            kept.append(c)
+            used |= set(c)
+    assert sorted(r.members for r in cliques.disjoint_cliques(g, 3).collect()) == sorted(kept)
+    assert not searched_in_groups(g, "maximal_cliques")
