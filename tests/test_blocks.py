@@ -236,3 +236,7 @@ def test_disjoint_cliques_of_many_at_a_time(small_graph):
             used |= set(c)
     assert sorted(r.members for r in cliques.disjoint_cliques(g, 3).collect()) == sorted(kept)
     assert not searched_in_groups(g, "maximal_cliques")
+
+
+def test_clique_cover_of_many_at_a_time(small_graph):
+    assert not searched_in_groups(small_graph[0], "clique_cover")
