@@ -240,3 +240,7 @@ def test_disjoint_cliques_of_many_at_a_time(small_graph):
 
 def test_clique_cover_of_many_at_a_time(small_graph):
     assert not searched_in_groups(small_graph[0], "clique_cover")
+
+
+def test_clique_debug_of_many_at_a_time(small_graph):
+    assert not searched_in_groups(small_graph[0], "clique_debug")
