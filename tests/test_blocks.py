@@ -244,3 +244,7 @@ def test_clique_cover_of_many_at_a_time(small_graph):
 
 def test_clique_debug_of_many_at_a_time(small_graph):
     assert not searched_in_groups(small_graph[0], "clique_debug")
+
+
+def test_clique5_encoded_enum_of_many_at_a_time(small_graph):
+    assert not searched_in_groups(small_graph[0], "clique5_encoded_enum")
