@@ -248,3 +248,7 @@ def test_clique_debug_of_many_at_a_time(small_graph):
 
 def test_clique5_encoded_enum_of_many_at_a_time(small_graph):
     assert not searched_in_groups(small_graph[0], "clique5_encoded_enum")
+
+
+def test_clique4_encoded_counts_of_many_at_a_time(small_graph):
+    assert not searched_in_groups(small_graph[0], "clique4_encoded_counts")
