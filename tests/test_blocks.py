@@ -252,3 +252,7 @@ def test_clique5_encoded_enum_of_many_at_a_time(small_graph):
 
 def test_clique4_encoded_counts_of_many_at_a_time(small_graph):
     assert not searched_in_groups(small_graph[0], "clique4_encoded_counts")
+
+
+def test_largest_clique_size_of_many_at_a_time(small_graph):
+    assert not searched_in_groups(small_graph[0], "largest_clique_size")
