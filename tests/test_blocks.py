@@ -256,3 +256,12 @@ def test_clique4_encoded_counts_of_many_at_a_time(small_graph):
 
 def test_largest_clique_size_of_many_at_a_time(small_graph):
     assert not searched_in_groups(small_graph[0], "largest_clique_size")
+
+
+def test_met_wedges_of_many_blocks(spark, many):
+    edges = random_edges(8, n=10, p=0.5)
+    near = {v: {b for e in edges for a, b in (e, e[::-1]) if a == v} for v in range(10)}
+    want = {(frozenset(p), frozenset(near[p[0]] & near[p[1]])) for p in combinations(range(10), 2) if len(near[p[0]] & near[p[1]]) > 1}
+    rows = Graph.from_pairs(spark, edges).met.collect()
+    assert len(rows) == len(want) and {(frozenset(v & 0xFFFFFFFF for v in (r.x, r.y)), frozenset(v & 0xFFFFFFFF for v in r.mids)) for r in rows} == want
+    assert all(r.x < r.y and r.mids == sorted(r.mids) for r in rows)
