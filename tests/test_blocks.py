@@ -265,3 +265,9 @@ def test_met_wedges_of_many_blocks(spark, many):
     rows = Graph.from_pairs(spark, edges).met.collect()
     assert len(rows) == len(want) and {(frozenset(v & 0xFFFFFFFF for v in (r.x, r.y)), frozenset(v & 0xFFFFFFFF for v in r.mids)) for r in rows} == want
     assert all(r.x < r.y and r.mids == sorted(r.mids) for r in rows)
+
+
+def test_square_chunks_send_no_wedges(spark, hubs):
+    g, edges = hubs
+    out, sent = shuffled(spark, lambda: ON_GRAPH["square_partitioned"](g))
+    assert out[0][0] == 1500 * 1499 // 2 + 2 * 1498 and sent < 10 * edges
