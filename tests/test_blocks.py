@@ -271,3 +271,9 @@ def test_square_chunks_send_no_wedges(spark, hubs):
     g, edges = hubs
     out, sent = shuffled(spark, lambda: ON_GRAPH["square_partitioned"](g))
     assert out[0][0] == 1500 * 1499 // 2 + 2 * 1498 and sent < 10 * edges
+
+
+def test_chordalsquare_nonoverlap_sends_no_wedges(spark, sparse):
+    g, edges = sparse
+    out, sent = shuffled(spark, lambda: ON_GRAPH["chordalsquare_nonoverlap"](g))
+    assert out[0][0] == number(run.COUNTS["chordalsquare"](g)) and sent < 14 * edges
