@@ -277,3 +277,9 @@ def test_chordalsquare_nonoverlap_sends_no_wedges(spark, sparse):
     g, edges = sparse
     out, sent = shuffled(spark, lambda: ON_GRAPH["chordalsquare_nonoverlap"](g))
     assert out[0][0] == number(run.COUNTS["chordalsquare"](g)) and sent < 14 * edges
+
+
+def test_twintwig_chordalsquare_sends_no_wedges(spark, sparse):
+    g, edges = sparse
+    out, sent = shuffled(spark, lambda: ON_GRAPH["twintwig_chordalsquare"](g))
+    assert out[0][0] == number(run.COUNTS["chordalsquare"](g)) and sent < 10 * edges
