@@ -283,3 +283,9 @@ def test_twintwig_chordalsquare_sends_no_wedges(spark, sparse):
     g, edges = sparse
     out, sent = shuffled(spark, lambda: ON_GRAPH["twintwig_chordalsquare"](g))
     assert out[0][0] == number(run.COUNTS["chordalsquare"](g)) and sent < 10 * edges
+
+
+def test_twintwig_solarsquare_sends_no_wedges(spark, sparse):
+    g, edges = sparse
+    out, sent = shuffled(spark, lambda: ON_GRAPH["twintwig_solarsquare"](g))
+    assert out[0][0] == number(run.COUNTS["solarsquare"](g)) and sent < 60 * edges
