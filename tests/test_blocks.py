@@ -289,3 +289,9 @@ def test_twintwig_solarsquare_sends_no_wedges(spark, sparse):
     g, edges = sparse
     out, sent = shuffled(spark, lambda: ON_GRAPH["twintwig_solarsquare"](g))
     assert out[0][0] == number(run.COUNTS["solarsquare"](g)) and sent < 60 * edges
+
+
+def test_planned_house_sends_no_wedges(spark, sparse):
+    g, edges = sparse
+    out, sent = shuffled(spark, lambda: ON_GRAPH["planned_house"](g))
+    assert out[0][0] == number(run.COUNTS["house"](g)) and sent < 40 * edges
