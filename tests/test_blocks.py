@@ -295,3 +295,13 @@ def test_planned_house_sends_no_wedges(spark, sparse):
     g, edges = sparse
     out, sent = shuffled(spark, lambda: ON_GRAPH["planned_house"](g))
     assert out[0][0] == number(run.COUNTS["house"](g)) and sent < 40 * edges
+
+
+def test_house_from_a_file_joins_a_square(spark, sparse):
+    """The square of a house is a unit of its plan, found in blocks, not a path that is closed in the end."""
+    from patternweave.plans import planner
+
+    g, _ = sparse
+    step = planner.decompose(PATTERNS["house"], planner.Moments.of(g), squares=True)
+    assert any(line.strip().startswith("square") for line in step.lines())
+    assert number(patterns.count(planner.match(g, PATTERNS["house"]))) == number(run.house_count(g))
