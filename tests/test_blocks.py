@@ -305,3 +305,13 @@ def test_house_from_a_file_joins_a_square(spark, sparse):
     step = planner.decompose(PATTERNS["house"], planner.Moments.of(g), squares=True)
     assert any(line.strip().startswith("square") for line in step.lines())
     assert number(patterns.count(planner.match(g, PATTERNS["house"]))) == number(run.house_count(g))
+
+
+def test_planned_triangles_are_the_graphs(spark, sparse):
+    """Cliques of a plan are placed from the graph's, so no wedge is made for them."""
+    from patternweave.plans import planner
+
+    g, _ = sparse
+    n = g.triangles.count()
+    out, sent = shuffled(spark, lambda: planner._unit(g, frozenset({(1, 2), (1, 3), (2, 3)}), [(1, 2)])[0])
+    assert len(out) == len(set(out)) == 3 * n and sent == 0
