@@ -315,3 +315,9 @@ def test_planned_triangles_are_the_graphs(spark, sparse):
     n = g.triangles.count()
     out, sent = shuffled(spark, lambda: planner._unit(g, frozenset({(1, 2), (1, 3), (2, 3)}), [(1, 2)])[0])
     assert len(out) == len(set(out)) == 3 * n and sent == 0
+
+
+def test_planned_solarsquare_sends_no_wedges(spark, sparse):
+    g, edges = sparse
+    out, sent = shuffled(spark, lambda: ON_GRAPH["planned_solarsquare"](g))
+    assert out[0][0] == number(run.COUNTS["solarsquare"](g)) and sent < 40 * edges
